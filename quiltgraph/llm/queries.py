@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality
+from . import bpe, langid, mixing, quality, rules
 from .common import remainder, table
 
 
@@ -38,12 +38,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return rules.score(docs, rules.ratios(docs, trusted))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op7_mixing": op7_mixing, "op10_bpe": op10_bpe}
+    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
