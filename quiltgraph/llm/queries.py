@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, quality, rules
+from . import bpe, jaccard, langid, mixing, nearest, quality, rules
 from .common import remainder, table
 
 
@@ -38,6 +38,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Measure(width=3, percent=90))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op5_jaccard": op5_jaccard, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
