@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, nearest, quality, rules
+from . import bpe, jaccard, langid, lines, mixing, nearest, quality, rules
 from .common import remainder, table
 
 
@@ -34,6 +34,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Measure(width=3, percent=90))
 
@@ -57,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op4_lines": op4_lines, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
