@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lines, mixing, nearest, quality, rules
+from . import bpe, brown, jaccard, langid, lines, mixing, nearest, quality, rules
 from .common import remainder, table
 
 
@@ -50,6 +50,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = brown.fit(docs.where(remainder("doc_id", 5) != 1))
+    return brown.score(docs, model, counts).select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -61,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op4_lines": op4_lines, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op4_lines": op4_lines, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op8_brown": op8_brown, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
