@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python step sees at once.
@@ -68,6 +68,33 @@ def dropped(df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of a filter over hashes; with more hashes than it can tell apart it only lets more through.
+FILTER_BITS = 1 << 25
+
+
+def bit_of(hash: Column) -> Column:
+    """The filter's bit of a 64-bit hash."""
+    return hash.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def bit_filter(hashes: DataFrame):
+    """A broadcast array of bits over the one column of hashes; its size is fixed, 4 MB."""
+    name = hashes.columns[0]
+    bit = hashes.select((bit_of(F.col(name)) + 1).alias("bit"))
+    rows = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["bucket"] - 1) * 4096 :][: len(part)] = part
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (signed or unsigned) have their bit set."""
+    at = (hashes & hashes.dtype.type(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def remainder(column: str, divisor: int):
     """crc32 of the id as text, modulo divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
@@ -127,23 +154,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, kept for up to ``most`` words."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        from xxhash import xxh3_64_intdigest
-
-        self.most, self.digest = most, xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.digest(word)
-        return value
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; a table of known words would cost more than hashing anew."""
+    from xxhash import xxh3_64_intdigest
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

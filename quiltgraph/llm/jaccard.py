@@ -7,26 +7,32 @@ some partition holds at most one of the k differences; then one of its cells
 holds none.  Every cell's content, with its band and place, is a signature, so
 such sets share one.  (That is PartEnum with n2 = 2 and subsets of one cell.)
 
-Equal sets are one node from the start.  Inside the group of a signature, all
-nodes are held against the least one; what is then still in different
-components is held against each other, so no group is expanded into all pairs.
+Equal sets are one node from the start, and signatures shared by the same nodes
+count once.  Inside the group of a signature all nodes are held against the
+least one; what is then still in different components is held against each
+other.  Before any pair is formed, a sketch must allow it: 512 parity bits of
+the sets' elements, of which no more can differ than elements do.  Pairs that
+are formed are decided on the whole sets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, dropped, mixed, shingles, signed, stored
+from .common import arrow_map, bit_filter, dropped, mixed, passes, shingles, signed, stored, word_hashes
 from .links import components
 
 #: Nodes whose signatures a task remembers to have given.
 SEEN = 500_000
-#: Bits of the filter that spares most texts a second hashing; beyond its size it only lets more through.
-FILTER_BITS = 1 << 25
+#: 64-bit words of a sketch.
+SKETCH = 8
+#: Pairs for each row of the groups up to which all that are left are held against their sketches at once.
+PAIRS = 1000
 
 
 @dataclass(frozen=True)
@@ -78,119 +84,147 @@ def node_of(shingled: np.ndarray) -> np.ndarray:
     return mixed(shingled.sum(dtype=np.uint64) + mixed(np.bitwise_xor.reduce(mixed(shingled + np.uint64(7)))[None] + np.uint64(len(shingled))))
 
 
-def signed_sets(docs: DataFrame, measure: Measure, id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node and the node's signatures where a task meets it first; node is null for an empty set."""
+def sketch_of(shingled: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the elements that fall on it."""
+    at = mixed(shingled + np.uint64(0x51ED)) >> np.uint64(55)
+    odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
+    """doc_id, n_shingles, node and, where a task meets the node first, its signatures and sketch; node is null for an empty set."""
 
     def make():
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
 
         def step(c):
-            counts, nodes, found = [], [], []
+            counts, nodes, found, sketches = [], [], [], []
             for t in c["text"]:
-                s = shingles(hashes.of(lowered(t)), measure.width)
+                s = shingles(word_hashes(lowered(t)), measure.width)
+                node = int(signed(node_of(s))[0]) if len(s) else None
+                new = node is not None and node not in seen
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
                 counts.append(len(s))
-                if not len(s):
-                    nodes.append(None)
-                    found.append(None)
-                    continue
-                node = int(signed(node_of(s))[0])
                 nodes.append(node)
-                if node in seen:
-                    found.append(None)
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                found.append(signed(measure.signatures(s)))
-            return [counts, nodes, found]
+                found.append(signed(measure.signatures(s)) if new else None)
+                sketches.append(sketch_of(s) if new else None)
+            return [counts, nodes, found, sketches]
 
         return step
 
-    columns = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(columns, make, "n_shingles long, node long, signatures array<long>", ("doc_id",))
+    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, sketch array<long>", ("doc_id",))
+
 
+def groups_of(first: DataFrame) -> DataFrame:
+    """signature and node, for signatures that several nodes have; of signatures with the same nodes one stays."""
+    count = first.where("signatures is not null").select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
+    held = bit_filter(count.where("n > 1").select("signature"))
+
+    def make():
+        bits = held.value
+
+        def step(c):
+            signatures, nodes = [], []
+            for node, own in zip(c["node"], c["signatures"]):
+                own = np.array(own, np.int64)
+                own = own[passes(bits, own)]
+                signatures.append(own)
+                nodes.append(np.full(len(own), node, np.int64))
+            return [np.concatenate(signatures), np.concatenate(nodes)] if nodes else None
+
+        return step
 
-def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """node and its shingles, of the nodes in wanted(node, doc_id): doc_id is one document with that set.
+    rows = stored(arrow_map(first.where("signatures is not null").select("node", "signatures"), make, "signature long, node long").dropDuplicates())
+    alike = rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
+    kept = stored(alike.where("n > 1").groupBy("n", "least", "most", "one", "two").agg(F.min("signature").alias("signature")).select("signature"))
+    out = stored(rows.join(kept, "signature", "left_semi"))
+    dropped(rows)
+    dropped(kept)
+    return out
 
-    A filter of fixed size over the wanted ids spares other texts the hashing;
-    the join on both columns settles what it lets through.
+
+def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
+    """node and its shingles, of the nodes in wanted(node), where a task meets them first.
+
+    A filter of fixed size over one document of each node spares other texts
+    the hashing; the join settles what it lets through.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
-    bitmap = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
+    held = bit_filter(wanted.select(F.xxhash64("doc_id").alias("hash")))
 
     def make():
-        hashes, bits = WordHashes(), bitmap.value
+        bits, seen = held.value, set()
 
         def step(c):
-            ids, nodes, sets = [], [], []
-            for i, t, b, p in zip(c["doc_id"], c["text"], c["bucket"], c["position"]):
-                if b in bits and bits[b][p >> 3] >> (p & 7) & 1:
-                    s = shingles(hashes.of(lowered(t)), measure.width)
-                    if len(s):
-                        ids.append(i)
-                        nodes.append(int(signed(node_of(s))[0]))
-                        sets.append(signed(s))
-            return [ids, nodes, sets]
+            nodes, sets = [], []
+            for at in np.flatnonzero(passes(bits, np.array(c["hash"], np.int64))):
+                s = shingles(word_hashes(lowered(c["text"][at])), measure.width)
+                node = int(signed(node_of(s))[0]) if len(s) else None
+                if node is not None and node not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(signed(s))
+            return [nodes, sets]
 
         return step
 
-    columns = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumn("bit", bit)
-    columns = columns.selectExpr("doc_id", "text", "bitmap_bucket_number(bit) as bucket", "cast(bitmap_bit_position(bit) as int) as position")
-    found = arrow_map(columns, make, "doc_id long, node long, shingles array<long>")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    found = arrow_map(docs.withColumn("hash", F.xxhash64("doc_id")).select("text", "hash"), make, "node long, shingles array<long>")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """The rows of pairs(a, b) whose sets reach the similarity, decided on the whole sets."""
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("first")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("second"))
-    sizes = pairs.join(sets.select(F.col("node").alias("a"), F.size("shingles").alias("na")), "a").join(sets.select(F.col("node").alias("b"), F.size("shingles").alias("nb")), "b")
-    near = sizes.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * measure.percent).select("a", "b")
-    both = near.join(left, "a").join(right, "b").select("a", "b", F.size("first").alias("na"), F.size("second").alias("nb"), F.size(F.array_intersect("first", "second")).alias("shared"))
-    return both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * measure.percent).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    shared = both.select("a", "b", (F.size("first") + F.size("second")).alias("all"), F.size(F.array_intersect("first", "second")).alias("shared"))
+    return shared.where(F.col("shared") * 100 >= (F.col("all") - F.col("shared")) * measure.percent).select("a", "b")
+
+
+def plausible(measure: Measure) -> Column:
+    """Whether columns a_n, a_s0, ... and b_n, b_s0, ... allow the similarity: sets that reach it differ in at most
+    (100 - percent) / (100 + percent) of their joint size, and their sketches in no more bits."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)])
+    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * measure.percent
+    return sizes & (bits * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent))
 
 
-def linked(members: DataFrame, sets: DataFrame, measure: Measure, allowance: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links(a, b) that join all similar nodes of the groups members(signature, node), and their components.
+def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """node and component of every node in a verified link, over the groups members(signature, node, n, s0, ...).
 
-    Every round takes the least node of each group that still spans several
-    components, holds the group's nodes of other components against it, and
-    leaves it out afterwards.  As soon as all pairs that are left number at most
-    ``allowance`` they are verified at once, so the result is whole and no
-    round makes more pairs than it has rows.
+    Every round holds the nodes of each group against its least one, unless
+    both are in one component already, and leaves that one out afterwards.
+    Once there are at most PAIRS pairs of different components for each row,
+    they are all held against their sketches at once, so the result is whole.
     """
-    links = joined = None
+    told = ["n", *(f"s{i}" for i in range(SKETCH))]
+    side = lambda df, x, more=(): df.select("signature", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in (*told, *more)])
+    links = None
+    rest = members.withColumn("component", F.col("node"))
+    most = PAIRS * members.count()
     while True:
-        if joined is None:
-            labelled = members.withColumn("component", F.col("node"))
-        else:
-            labelled = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        groups = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("pivot"))
-        groups = stored(groups.where("least < most").select("signature", "pivot"))
-        rest = stored(labelled.join(groups, "signature"))
-        dropped(groups)
-        sizes = rest.groupBy("signature", "component").agg(F.count("*").alias("n")).groupBy("signature").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            dropped(rest)
-            return links, joined
-        last = joined is not None and left <= allowance
-        if last:
-            one, two = rest.select("signature", F.col("node").alias("a"), F.col("component").alias("ca")), rest.select("signature", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "signature").where("a < b and ca <> cb")
-        else:
-            heads = rest.where("node = pivot").select("signature", F.col("component").alias("own")).dropDuplicates(["signature"])
-            heads = stored(heads)
-            pairs = rest.where("node <> pivot").join(heads, "signature").where("component <> own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = similar(stored(pairs.select("a", "b").dropDuplicates()), sets, measure)
+        heads = stored(rest.groupBy("signature").agg(F.min("node").alias("node")))
+        heads = stored(side(rest.join(heads, ["signature", "node"]), "a", ("component",)))
+        pairs = heads.join(side(rest, "b", ("component",)), "signature").where("a <> b and a_component <> b_component").where(plausible(measure))
+        pairs = stored(pairs.select("a", "b").distinct())
+        found = similar(pairs, sets, measure)
         links = stored(found if links is None else found.union(links))
-        dropped(joined)
         joined = components(links)
-        if last:
-            dropped(rest)
-            return links, joined
-        members = rest.where("node <> pivot").select("signature", "node")
+        rest = rest.drop("component").join(heads.select("signature", F.col("a").alias("node")), ["signature", "node"], "left_anti")
+        rest = stored(rest.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        spans = rest.groupBy("signature", "component").agg(F.count("*").alias("k")).groupBy("signature").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        spans = stored(spans.where("parts > 1"))
+        left = spans.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        if not left:
+            return joined
+        rest = stored(rest.join(spans.select("signature"), "signature", "left_semi"))
+        if left <= most:
+            pairs = side(rest, "a", ("component",)).join(side(rest, "b", ("component",)), "signature").where("a < b and a_component <> b_component").where(plausible(measure))
+            pairs = stored(pairs.select("a", "b").distinct())
+            return components(stored(similar(pairs, sets, measure).union(links)))
 
 
 def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,27 +236,33 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     null id take part and never name a component that holds other ids.  Other
     columns are ignored.
     """
-    first = stored(signed_sets(docs, measure, id, text))
-    given = first.where("signatures is not null").select("node", F.explode("signatures").alias("signature"))
-    # a partial sum meets hot signatures before the shuffle
-    shared = given.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("signature")
-    members = stored(given.join(shared, "signature", "left_semi").dropDuplicates(["signature", "node"]).select("signature", "node"))
-    nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(members.select("node").distinct().join(nodes, "node"))
-    sets = stored(sets_of(docs, measure, wanted, id, text))
-    _, joined = linked(members, sets, measure, max(1000, wanted.count()))
-    rows = first.where("node is not null").select("doc_id", "n_shingles", "node")
-    alone = first.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    if joined is not None:
-        rows = rows.join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node"))
-    rows = stored(rows)
+    docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    first = stored(signed_sets(docs, measure))
+    groups = groups_of(first)
+    nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    sketches = first.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
+    known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
+    members = stored(groups.join(known.drop("doc_id"), "node"))
+    rows = stored(first.select("doc_id", "n_shingles", "node"))
+    dropped(groups)
+    dropped(first)
+    sets = stored(sets_of(docs, measure, known))
+    joined = linked(members, sets, measure)
+    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
     names = stored(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (members, wanted, sets, joined):
+    for table in (members, known, sets):
         dropped(table)
     return rows.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of its component; of rows with that id, one; rows with a null id stay."""
-    kept = classes(docs, measure, id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
-    return docs.dropDuplicates([id]).join(kept, id, "left_semi").union(docs.where(F.col(id).isNull()))
+    """The rows of docs whose id is the least of its component.
+
+    Of several rows with that id the one with the least text stays, nulls
+    first; rows with a null id all stay.
+    """
+    kept = classes(docs, measure, id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy(id).orderBy(text)
+    rows = docs.where(F.col(id).isNotNull()).join(kept, F.col(id) == F.col("_id"), "left_semi")
+    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth").union(docs.where(F.col(id).isNull()))

@@ -21,12 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, dropped, mixed, signed, stored
+from .common import arrow_map, bit_filter, dropped, mixed, passes, signed, stored, word_hashes
 
 #: Fewest words of a line that may go, and of one that may go for a near line.
 LEAST, NEAR = 5, 10
-#: Bits of the filter that spares lines without a partner; beyond its size it only lets more through.
-FILTER_BITS = 1 << 25
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: A place is id * WIDE + line number.
 WIDE = 10**10
@@ -54,7 +52,7 @@ class Runs:
 class Lines:
     """The lines of a batch of texts that may go: text number, line number, and their words in one array."""
 
-    def __init__(self, texts: list[str | None], hashes: WordHashes):
+    def __init__(self, texts: list[str | None]):
         self.text: list[int] = []
         self.number: list[int] = []
         sizes, words = [], []
@@ -71,7 +69,7 @@ class Lines:
         self.size = np.array(sizes, np.int64)
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
-        self.words = hashes.of(words)
+        self.words = word_hashes(words)
         self.runs, other = Runs(self.words, BASE), Runs(self.words, OTHER)
         self.h1, self.h2 = signed(self.runs.hash(self.start, self.end)), signed(other.hash(self.start, self.end))
 
@@ -90,10 +88,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, rid, number, h1, h2, halves of every line that may go, for docs(doc_id, rid, text)."""
 
     def make():
-        hashes = WordHashes()
-
         def step(c):
-            lines = Lines(c["text"], hashes)
+            lines = Lines(c["text"])
             if not lines.text:
                 return None
             halves = [h if n >= NEAR else None for h, n in zip(list(lines.halves()), lines.size)]
@@ -106,29 +102,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, h2 and the word hashes of the lines in wanted(h1, h2), where a task meets them first, and maybe of others."""
-    rows = wanted.select(F.pmod("h1", F.lit(FILTER_BITS)).alias("bit"))
-    rows = rows.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    held = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows.collect()})
+    held = bit_filter(wanted.select("h1"))
 
     def make():
-        hashes, seen, bits = WordHashes(), set(), held.value
-
-        def inside(bucket: int, position: int) -> bool:
-            return bucket in bits and bits[bucket][position >> 3] >> (position & 7) & 1
+        seen, bits = set(), held.value
 
         def step(c):
-            lines = Lines(c["text"], hashes)
+            lines = Lines(c["text"])
             a, b, words = [], [], []
-            bit = lines.h1 % FILTER_BITS
-            # as bitmap_bucket_number and bitmap_bit_position have it
-            bucket, position = np.where(bit > 0, 1 + (bit - 1) // 32768, -bit // 32768), np.where(bit > 0, (bit - 1) % 32768, -bit % 32768)
-            for i, (x, y) in enumerate(zip(lines.h1.tolist(), lines.h2.tolist())):
-                if lines.size[i] >= NEAR and inside(int(bucket[i]), int(position[i])) and (x, y) not in seen:
+            for i in np.flatnonzero(passes(bits, lines.h1) & (lines.size >= NEAR)):
+                both = int(lines.h1[i]), int(lines.h2[i])
+                if both not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
-                    seen.add((x, y))
-                    a.append(x)
-                    b.append(y)
+                    seen.add(both)
+                    a.append(both[0])
+                    b.append(both[1])
                     words.append(signed(lines.words[lines.start[i] : lines.end[i]]))
             return [a, b, words]
 
