@@ -60,18 +60,17 @@ def targets(sizes: DataFrame) -> DataFrame:
     return found.select("flow", "source_size", F.least("stop", F.coalesce(F.col("final") * F.col("w"), F.col("stop"))).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, copies, taken, and ``keep``.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: doc_id, rid, size, source_size, target, copies, taken.
 
     copies is how often the mix takes the document, taken = copies * size.  A
     document without words costs nothing and is taken once.  Null sources form
     a source of their own; null ids and repeated rows take part like any other
     row.  The order within a source is by a seeded hash of id and text, so
-    reruns agree.  Kept columns with the name of a result column are left out.
+    reruns agree.  rid is xxhash64 of the text; other columns are ignored.
     """
-    kept = tuple(c for c in keep if c not in ("doc_id", "size", "source_size", "target", "copies", "taken"))
-    narrow = docs.select(F.col(id).alias("doc_id"), flow(source).alias("flow"), words(text).alias("size"), F.xxhash64(F.lit(SEED), F.col(id), F.col(text)).alias("place"), *([F.struct(*[F.col(c) for c in kept]).alias("kept")] if kept else []))
-    sized = stored(narrow)
+    rid = F.xxhash64(F.col(text))
+    sized = stored(docs.select(F.col(id).alias("doc_id"), rid.alias("rid"), flow(source).alias("flow"), words(text).alias("size"), F.xxhash64(F.lit(SEED), F.col(id), F.col(text)).alias("place")))
     count, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = 1 << max(0, (count // BUCKET_ROWS).bit_length())
     sources = targets(sized.groupBy("flow").agg(F.sum("size").alias("source_size")))
@@ -110,4 +109,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     extra = served.groupBy("flow", "place", "nth").agg(F.count("*").alias("extra"))
     out = sure.join(extra, ["flow", "place", "nth"], "left")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(1).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *[F.col(f"kept.{c}") for c in kept])
+    return out.select("doc_id", "rid", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows with the same id and text are taken as often as the mix takes them in
+    all; which of them is repeated is not told apart.
+    """
+    taken = mix(docs, text, source, id).groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    rows = docs.withColumn("_own", F.xxhash64(F.col(text)))
+    single = rows.join(taken, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rid")))
+    # of several equal rows, the first ones take what doesn't divide evenly
+    nth = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_id", "_rid").orderBy("_rid")))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
+    out = single.withColumn("_times", share.cast("int")).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.drop("_own", "_id", "_rid", "_copies", "_rows", "_times", "_time")

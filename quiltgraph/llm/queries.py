@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, jaccard, langid, lines, mixing, nearest, quality, rules
+from . import bpe, brown, jaccard, langid, lines, mixing, nearest, pii, quality, rules
 from .common import remainder, table
 
 
@@ -17,6 +17,14 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The key of the query's pseudonyms; users of the operator bring their own.
+KEY = b"quiltgraph example key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Learned from labelled rows whose crc32 remainder by 5 is not 0."""
     return quality.fit(quality.sampled(docs, labels, "quality", remainder("doc_id", 5) != 0))
@@ -67,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_langid": op3_langid, "op4_lines": op4_lines, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op8_brown": op8_brown, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
+    return {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_lines": op4_lines, "op5_jaccard": op5_jaccard, "op6_nearest": op6_nearest, "op7_mixing": op7_mixing, "op8_brown": op8_brown, "op9_rules": op9_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
