@@ -17,6 +17,8 @@ from ..plans.patterns import core_numbers, degeneracy_order
 from ..scratch import stored, unstored
 
 Catalog = dict[tuple[int, int], DataFrame]
+#: Semi-joins on top of each other before a relation is written.
+DEPTH = 3
 
 
 def scan(graph: PropertyGraph, pattern: Pattern, u: int, v: int) -> DataFrame:
@@ -102,11 +104,12 @@ def schedule(pattern: Pattern, top_down_first: bool = False) -> list[tuple[tuple
 
 
 def reduce_fully(pattern: Pattern, relations: Catalog, top_down_first: bool = False, seeds: set[tuple[int, int]] | None = None) -> Catalog:
-    """The relations after the schedule, written between sweeps so that plans don't grow.
+    """The relations after the schedule, written now and then so that plans don't grow.
 
     With ``seeds``, edges that a view has reduced already, the first sweep starts at those.
     """
-    out = dict(relations)
+    out = {e: stored(df) for e, df in relations.items()}
+    depth = dict.fromkeys(out, 0)
     steps = schedule(pattern, top_down_first)
     if seeds:
         known = set(seeds)
@@ -116,15 +119,12 @@ def reduce_fully(pattern: Pattern, relations: Catalog, top_down_first: bool = Fa
             ahead.append((e, by, min(set(e) & set(by))))
             known.add(e)
         steps = ahead + steps
-    most = 2 * len(pattern.edges)
-    for at in range(0, len(steps), most):
-        touched = set()
-        for e, by, v in steps[at : at + most]:
-            out[e] = semi_join(out[e], out[by], column(v))
-            touched.add(e)
-        for e in touched:
-            out[e] = stored(out[e])
-    return out
+    for e, by, v in steps:
+        out[e] = semi_join(out[e], out[by], column(v))
+        depth[e] = max(depth[e], depth[by]) + 1
+        if depth[e] > DEPTH:
+            out[e], depth[e] = stored(out[e]), 0
+    return {e: stored(df) if depth[e] else df for e, df in out.items()}
 
 
 def candidates(pattern: Pattern, relations: Catalog) -> dict[int, DataFrame]:
