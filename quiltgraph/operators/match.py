@@ -206,25 +206,28 @@ def timed(df: DataFrame, seconds: float | None) -> tuple[list, bool, float]:
     began = time.time()
     if seconds is None:
         return df.collect(), False, time.time() - began
-    spark, tag, out = df.sparkSession, f"quiltgraph-{uuid.uuid4().hex}", threading.Event()
+    spark, tag, done, late = df.sparkSession, f"quiltgraph-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
-    def stop():
-        out.set()
-        spark.interruptTag(tag)
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.is_set():  # also jobs that start only now
+                spark.interruptTag(tag)
+                done.wait(0.2)
 
-    timer = threading.Timer(seconds, stop)
+    watcher = threading.Thread(target=watch, daemon=True)
     spark.addTag(tag)
-    timer.start()
+    watcher.start()
+    rows: list = []
     try:
         rows = df.collect()
-        return rows, False, time.time() - began
     except Exception:
-        if not out.is_set():
+        if not late.is_set():
             raise
-        return [], True, time.time() - began
     finally:
-        timer.cancel()
+        done.set()
         spark.removeTag(tag)
+    return ([], True, time.time() - began) if late.is_set() else (rows, False, time.time() - began)
 
 
 def match(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, limit: int | None = None, timeout: float | None = None, **options) -> MatchResult:
