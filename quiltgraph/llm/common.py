@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +96,12 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffle files of plans that are done: they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, divisor: int):
     """crc32 of the id as text, modulo divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

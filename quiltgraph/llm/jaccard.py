@@ -2,21 +2,22 @@
 
 Sets whose sizes fall into one band, or neighbouring bands, and whose Jaccard
 similarity reaches the threshold differ in at most k elements.  The domain of
-shingles is hashed into n1 partitions of two cells each, with n1 so large that
-some partition holds at most one of the k differences; then one of its cells
-holds none.  Every cell's content, with its band and place, is a signature, so
-such sets share one.  (That is PartEnum with n2 = 2 and subsets of one cell.)
-
-Equal sets are one node from the start, and signatures shared by the same nodes
-count once.  Inside the group of a signature all nodes are held against the
-least one; what is then still in different components is held against each
-other.  Before any pair is formed, a sketch must allow it: 512 parity bits of
-the sets' elements, of which no more can differ than elements do.  Pairs that
-are formed are decided on the whole sets.
+shingles is hashed into n1 partitions of n2 cells each.  Some partition holds
+at most k2 = k / n1 of the differences, and with n2 = k2 + 1 one of its cells
+holds none; so every subset of one cell, with its band and place, is a
+signature, and similar sets share one whose partition differs in at most k2.
+
+Equal sets are one node from the start.  Inside the group of a signature all
+nodes are held against the least one; what is then still in different
+components is held against each other.  Before any pair is formed, parity
+sketches must allow it, of the signature's partition and of the whole sets: of
+their bits no more can differ than elements do.  Pairs that are formed are
+decided on the whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,13 +25,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bit_filter, dropped, mixed, passes, shingles, signed, stored, word_hashes
+from .common import arrow_map, bit_filter, dropped, mixed, passes, released, shingles, signed, stored, word_hashes
 from .links import components
 
 #: Nodes whose signatures a task remembers to have given.
 SEEN = 500_000
-#: 64-bit words of a sketch.
-SKETCH = 8
+#: 64-bit words of a whole set's sketch, and the most cells of a partition.
+SKETCH, CELLS = 4, 8
 #: Pairs for each row of the groups up to which all that are left are held against their sketches at once.
 PAIRS = 1000
 
@@ -56,13 +57,20 @@ class Measure:
         """The most elements in which two similar sets of up to ``largest`` can differ."""
         return 2 * largest * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, shingled: np.ndarray) -> np.ndarray:
+    def layout(self, size: int) -> list[tuple[int, int, int]]:
+        """Band, n1 and n2 for each of the two bands; none where only equal sets are similar, since those are one node."""
         out = []
-        for number, largest in self.bands(len(shingled)):
-            k = self.differences(largest)
-            if not k:
-                continue  # then only equal sets are similar, and those are one node
-            cells = 2 * ((k + 2) // 2)
+        for number, largest in self.bands(size):
+            if k := self.differences(largest):
+                n1 = -(-(k + 1) // CELLS)
+                out.append((number, n1, k // n1 + 1))
+        return out
+
+    def signatures(self, shingled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every cell its signature, and of every partition its parity sketch, in the order of layout()."""
+        cells_out, parts_out = [], []
+        for number, n1, n2 in self.layout(len(shingled)):
+            cells = n1 * n2
             seed = mixed(np.array([number + 1], np.uint64))
             m = mixed(shingled ^ seed)
             cell = ((m >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
@@ -70,8 +78,11 @@ class Measure:
             low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
             high = np.bincount(cell, (m >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
             place = mixed(seed + np.arange(cells, dtype=np.uint64))
-            out.append(mixed(mixed(low + (high << np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15)) ^ place))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            cells_out.append(mixed(mixed(low + (high << np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15)) ^ place))
+            odd = np.bincount(cell // n2 * 64 + (m >> np.uint64(58)).astype(np.int64), minlength=n1 * 64) & 1
+            parts_out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        none = np.zeros(0, np.uint64)
+        return np.concatenate([none, *cells_out]), np.concatenate([none.view(np.int64), *parts_out])
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -86,64 +97,65 @@ def node_of(shingled: np.ndarray) -> np.ndarray:
 
 def sketch_of(shingled: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the elements that fall on it."""
-    at = mixed(shingled + np.uint64(0x51ED)) >> np.uint64(55)
+    at = mixed(shingled + np.uint64(0x51ED)) % np.uint64(64 * SKETCH)
     odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
 def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles, node and, where a task meets the node first, its signatures and sketch; node is null for an empty set."""
+    """doc_id, n_shingles, node and, where a task meets the node first, signatures and sketches; node is null for an empty set."""
 
     def make():
         seen: set[int] = set()
 
         def step(c):
-            counts, nodes, found, sketches = [], [], [], []
+            out: tuple[list, ...] = ([], [], [], [], [])
             for t in c["text"]:
                 s = shingles(word_hashes(lowered(t)), measure.width)
                 node = int(signed(node_of(s))[0]) if len(s) else None
-                new = node is not None and node not in seen
-                if new:
+                cells = parts = sketch = None
+                if node is not None and node not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                counts.append(len(s))
-                nodes.append(node)
-                found.append(signed(measure.signatures(s)) if new else None)
-                sketches.append(sketch_of(s) if new else None)
-            return [counts, nodes, found, sketches]
+                    cells, parts = measure.signatures(s)
+                    cells, sketch = signed(cells), sketch_of(s)
+                for o, v in zip(out, (len(s), node, cells, parts, sketch)):
+                    o.append(v)
+            return list(out)
 
         return step
 
-    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, sketch array<long>", ("doc_id",))
+    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, parts array<long>, sketch array<long>", ("doc_id",))
 
 
-def groups_of(first: DataFrame) -> DataFrame:
-    """signature and node, for signatures that several nodes have; of signatures with the same nodes one stays."""
-    count = first.where("signatures is not null").select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
+def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
+    """signature, node, part and most, for signatures that several nodes have: the partition's sketch, and the most bits that may differ."""
+    own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
+    # a partial sum meets hot signatures before the shuffle
+    count = own.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
     held = bit_filter(count.where("n > 1").select("signature"))
 
     def make():
         bits = held.value
 
         def step(c):
-            signatures, nodes = [], []
-            for node, own in zip(c["node"], c["signatures"]):
-                own = np.array(own, np.int64)
-                own = own[passes(bits, own)]
-                signatures.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
-            return [np.concatenate(signatures), np.concatenate(nodes)] if nodes else None
+            out: tuple[list, ...] = ([], [], [], [])
+            for node, size, cells, parts in zip(c["node"], c["n_shingles"], c["signatures"], c["parts"]):
+                cells = np.array(cells, np.int64)
+                hit = passes(bits, cells)
+                if not hit.any():
+                    continue
+                layout = measure.layout(size)
+                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, n2) for _, n1, n2 in layout]))
+                most = np.concatenate([np.full(n1 * n2, n2 - 1, np.int32) for _, n1, n2 in layout])
+                for o, v in zip(out, (cells[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit])):
+                    o.append(v)
+            return [np.concatenate(o) for o in out] if out[0] else None
 
         return step
 
-    rows = stored(arrow_map(first.where("signatures is not null").select("node", "signatures"), make, "signature long, node long").dropDuplicates())
-    alike = rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
-    kept = stored(alike.where("n > 1").groupBy("n", "least", "most", "one", "two").agg(F.min("signature").alias("signature")).select("signature"))
-    out = stored(rows.join(kept, "signature", "left_semi"))
-    dropped(rows)
-    dropped(kept)
-    return out
+    return arrow_map(own, make, "signature long, node long, part long, most int").dropDuplicates(["signature", "node"])
 
 
 def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
@@ -152,6 +164,7 @@ def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
     A filter of fixed size over one document of each node spares other texts
     the hashing; the join settles what it lets through.
     """
+    wanted = stored(wanted.select("node", "doc_id"))
     held = bit_filter(wanted.select(F.xxhash64("doc_id").alias("hash")))
 
     def make():
@@ -185,46 +198,54 @@ def similar(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
 
 
 def plausible(measure: Measure) -> Column:
-    """Whether columns a_n, a_s0, ... and b_n, b_s0, ... allow the similarity: sets that reach it differ in at most
-    (100 - percent) / (100 + percent) of their joint size, and their sketches in no more bits."""
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)])
+    """Whether the columns of a and b that members have allow the similarity.
+
+    Sets that reach it differ in at most (100 - percent) / (100 + percent) of
+    their joint size, and in some shared signature's partition in at most
+    ``most``; their sketches differ in no more bits.
+    """
+    differing = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    bits = reduce(lambda x, y: x + y, [differing(f"s{i}") for i in range(SKETCH)])
     sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * measure.percent
-    return sizes & (bits * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent))
+    return sizes & (differing("part") <= F.col("a_most")) & (bits * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent))
 
 
-def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """node and component of every node in a verified link, over the groups members(signature, node, n, s0, ...).
+def linked(members: DataFrame, measure: Measure, sets_for: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and component of every node in a verified link, over the groups members(signature, node, part, most, n, s0, ...).
 
     Every round holds the nodes of each group against its least one, unless
     both are in one component already, and leaves that one out afterwards.
     Once there are at most PAIRS pairs of different components for each row,
     they are all held against their sketches at once, so the result is whole.
+    sets_for(pairs) gives the whole sets of the nodes in pairs(a, b).
     """
-    told = ["n", *(f"s{i}" for i in range(SKETCH))]
-    side = lambda df, x, more=(): df.select("signature", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in (*told, *more)])
+    told = ["part", "most", "n", *(f"s{i}" for i in range(SKETCH)), "component"]
+    side = lambda df, x: df.select("signature", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in told])
     links = None
     rest = members.withColumn("component", F.col("node"))
     most = PAIRS * members.count()
     while True:
-        heads = stored(rest.groupBy("signature").agg(F.min("node").alias("node")))
-        heads = stored(side(rest.join(heads, ["signature", "node"]), "a", ("component",)))
-        pairs = heads.join(side(rest, "b", ("component",)), "signature").where("a <> b and a_component <> b_component").where(plausible(measure))
-        pairs = stored(pairs.select("a", "b").distinct())
-        found = similar(pairs, sets, measure)
-        links = stored(found if links is None else found.union(links))
+        least = rest.groupBy("signature").agg(F.min("node").alias("node"))
+        heads = stored(side(rest.join(least, ["signature", "node"]), "a"))
+        pairs = stored(heads.join(side(rest, "b"), "signature").where("a <> b and a_component <> b_component").where(plausible(measure)).select("a", "b").distinct())
+        found = similar(pairs, sets_for(pairs), measure)
+        links, old = stored(found if links is None else found.union(links)), links
         joined = components(links)
-        rest = rest.drop("component").join(heads.select("signature", F.col("a").alias("node")), ["signature", "node"], "left_anti")
-        rest = stored(rest.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        spans = rest.groupBy("signature", "component").agg(F.count("*").alias("k")).groupBy("signature").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        left = rest.drop("component").join(heads.select("signature", F.col("a").alias("node")), ["signature", "node"], "left_anti")
+        left = stored(left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        spans = left.groupBy("signature", "component").agg(F.count("*").alias("k")).groupBy("signature").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
         spans = stored(spans.where("parts > 1"))
-        left = spans.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
+        number = spans.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        if number:
+            rest = stored(left.join(spans.select("signature"), "signature", "left_semi"))
+        for table in (old, heads, pairs, left, spans):
+            dropped(table)
+        if not number:
             return joined
-        rest = stored(rest.join(spans.select("signature"), "signature", "left_semi"))
-        if left <= most:
-            pairs = side(rest, "a", ("component",)).join(side(rest, "b", ("component",)), "signature").where("a < b and a_component <> b_component").where(plausible(measure))
+        if number <= most:
+            pairs = side(rest, "a").join(side(rest, "b"), "signature").where("a < b and a_component <> b_component").where(plausible(measure))
             pairs = stored(pairs.select("a", "b").distinct())
-            return components(stored(similar(pairs, sets, measure).union(links)))
+            return components(stored(similar(pairs, sets_for(pairs), measure).union(links)))
 
 
 def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,20 +259,28 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
-    groups = groups_of(first)
+    groups = stored(groups_of(first, measure))
+    shared = stored(groups.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("signature"))
+    groups, all_groups = groups.join(shared, "signature", "left_semi"), groups
     nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     sketches = first.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
     members = stored(groups.join(known.drop("doc_id"), "node"))
     rows = stored(first.select("doc_id", "n_shingles", "node"))
-    dropped(groups)
-    dropped(first)
-    sets = stored(sets_of(docs, measure, known))
-    joined = linked(members, sets, measure)
+    for table in (all_groups, shared, first):
+        dropped(table)
+    del groups, nodes, sketches
+    released(docs.sparkSession)
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return stored(sets_of(docs, measure, known.join(asked, "node", "left_semi")))
+
+    joined = linked(members, measure, sets_for)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
     names = stored(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (members, known, sets):
+    for table in (members, known):
         dropped(table)
     return rows.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 
