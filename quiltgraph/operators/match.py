@@ -28,6 +28,8 @@ from .relations import Catalog, neighbour_filter, reduce_fully, scan, scan_all
 ISO, HOMO = "iso", "homo"
 #: Live columns up to which rows are summed in the middle of a plan.
 SUM_UP_TO = 2
+#: The most that Spark's own limit takes.
+MOST_ROWS = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -180,7 +182,7 @@ def matches(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=
         steps = plan(pattern, chosen_order(graph, pattern, order), injective, False)
         out = execute(pattern, prepared(graph, pattern, injective, reduce), steps, strategy=strategy, factorize=False, injective=injective)
     out = out.select(*[column(u) for u in range(len(pattern))])
-    return out.limit(limit) if limit is not None else out
+    return out.limit(min(limit, MOST_ROWS)) if limit is not None else out
 
 
 def count(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=None, strategy: str = "join", reduce: str = "none", limit: int | None = None) -> DataFrame:

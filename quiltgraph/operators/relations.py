@@ -70,7 +70,8 @@ def project(relation: DataFrame, u: int) -> DataFrame:
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    return left.join(right.select(on), on, "left_semi")
+    """The columns stay in their order."""
+    return left.join(right.select(on), on, "left_semi").select(*left.columns)
 
 
 def semi_join_count(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, int]:

@@ -147,7 +147,7 @@ def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit:
     if not r.used:
         return direct.matches(graph, query, limit=limit, reduce=reduce)
     out = pipeline(graph, r, views, relations, _order(r, views), False).select(*columns)
-    return out.limit(limit) if limit is not None else out
+    return out.limit(min(limit, direct.MOST_ROWS)) if limit is not None else out
 
 
 def answer(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, timeout: float | None = None, reduce: str = "none") -> MatchResult:
