@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,10 +101,14 @@ class PropertyGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    #: Where edges is a union whose branches each have labels of known beginnings: (src, dst, branch).
+    branches: tuple[tuple[str, str, DataFrame], ...] = ()
 
     def relation(self, a: str, b: str, ca: str = "src", cb: str = "dst") -> DataFrame:
         """Edges from label a to label b; the filter reaches the scan, or picks its partitions."""
-        chosen = self.edges.where((F.col("src_label") == a) & (F.col("dst_label") == b))
+        fitting = [df for x, y, df in self.branches if a.startswith(x) and b.startswith(y)]
+        source = reduce(DataFrame.union, fitting) if fitting else self.edges.where(F.lit(not self.branches))
+        chosen = source.where((F.col("src_label") == a) & (F.col("dst_label") == b))
         return chosen.select(F.col("src").alias(ca), F.col("dst").alias(cb))
 
     def label_counts(self, labels: Iterable[str]) -> dict[str, int]:

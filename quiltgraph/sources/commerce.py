@@ -49,15 +49,18 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     ]
     joined_orders = lambda df: df.join(orders, df["l_orderkey"] == orders["o_orderkey"])
     joined_parts = lambda df: df.join(parts, df["l_partkey"] == parts["p_partkey"])
+    # distinct comes last: a filter on labels passes it and leaves little to be made distinct
     several = [
-        edge(joined_parts(joined_orders(of_order.select("l_orderkey", "l_partkey").distinct())), (ORDER, "l_orderkey", order_label), (PART, "l_partkey", part_label)),
-        edge(joined_orders(of_order.select("l_orderkey", "l_suppkey").distinct()), (ORDER, "l_orderkey", order_label), (SUPPLIER, "l_suppkey", supplier)),
-        edge(joined_parts(of_order.select("l_partkey", "l_suppkey").distinct()), (PART, "l_partkey", part_label), (SUPPLIER, "l_suppkey", supplier)),
+        edge(joined_parts(joined_orders(of_order)), (ORDER, "l_orderkey", order_label), (PART, "l_partkey", part_label)).distinct(),
+        edge(joined_orders(of_order), (ORDER, "l_orderkey", order_label), (SUPPLIER, "l_suppkey", supplier)).distinct(),
+        edge(joined_parts(of_order), (PART, "l_partkey", part_label), (SUPPLIER, "l_suppkey", supplier)).distinct(),
     ]
     union = lambda tables: reduce(DataFrame.union, tables)
+    kinds = [("nation", "region"), ("cust:", "nation"), ("supplier", "nation"), ("order:", "cust:"), ("order:", "part:"), ("order:", "supplier"), ("part:", "supplier")]
     forward = [*once, *several]
     back = [e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_label").alias("src_label"), F.col("src_label").alias("dst_label")) for e in forward]
-    return PropertyGraph(union(vertices), union([*forward, *back]))
+    branches = [(x, y, e) for (x, y), e in zip(kinds, forward)] + [(y, x, e) for (x, y), e in zip(kinds, back)]
+    return PropertyGraph(union(vertices), union([*forward, *back]), tuple(branches))
 
 
 #: The same graph as common table expressions v(id, label) and e(src, dst).
