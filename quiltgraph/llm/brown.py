@@ -1,15 +1,20 @@
 """Language-model scores from class-based bigrams.
 
 p(word | before) = p(class | class before) * p(word | class).  Exchange
-clustering assigns items to classes: the most frequent words are items of
-their own, and all other words, unseen ones too, fall into items by their
-ending.  Word counts, item pairs and class statistics come from the whole
+clustering assigns words to classes in two steps.  The first deals items: the
+most frequent words are items of their own, and all other words fall into
+items by their ending.  The second takes every further word met LEAST times or
+more, however many there are, and moves it by its own neighbours to the class
+that raises the likelihood most; words are moved side by side, each against
+the classes of the first step.  Only rarer and unseen words keep the class of
+their ending.  Word counts, neighbours and class statistics come from the whole
 training corpus; only tables bounded by the number of items or of frequent
 words reach the driver.
 
-A word's count is needed for its emission probability.  Counts of the FREQUENT
-most frequent words are sent to every task; those of all other words are
-joined by hash, where no key is hot since the frequent words are out.
+A word's count is needed for its emission probability, and its class for the
+transitions.  Those of the FREQUENT most frequent words are sent to every task;
+those of all other words are joined by hash, where no key is hot since the
+frequent words are out.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, signed, stored
+from .common import arrow_map, bit_filter, dropped, passes, signed, stored
 
 #: Words that are items, items of endings, classes, and rounds of exchange.
 WORDS, ENDINGS, CLASSES, ROUNDS = 1024, 1024, 64, 6
-#: Words whose counts every task holds.
+#: Fewest times that a word is met to be given a class of its own.
+LEAST = 5
+#: Words whose counts and classes every task holds.
 FREQUENT = 1 << 17
 #: Words of a task's tables before they are emptied.
 HELD = 250_000
@@ -177,6 +184,23 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def gains(table: np.ndarray, r: np.ndarray, c: np.ndarray, own: float) -> np.ndarray:
+    """What each class adds to the likelihood by taking an item that is out of the table.
+
+    r and c count the classes after and before the item, own the item after itself.
+    """
+    after, before = np.flatnonzero(r), np.flatnonzero(c)
+    part = table[:, after]
+    rows = (xlogx(part + r[after]) - xlogx(part)).sum(1)
+    part = table[before]
+    columns = (xlogx(part + c[before, None]) - xlogx(part)).sum(0)
+    d = table.diagonal()
+    gain = rows + columns - (xlogx(d + r) - xlogx(d)) - (xlogx(d + c) - xlogx(d)) + xlogx(d + r + c + own) - xlogx(d)
+    # margins of a class, with what it exchanges with the item that is out of the table
+    out, into = table.sum(1) + c, table.sum(0) + r
+    return gain - (xlogx(out + r.sum() + own) - xlogx(out) + xlogx(into + c.sum() + own) - xlogx(into))
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each item: every item in turn moves to the class that raises the bigram likelihood most.
 
@@ -190,7 +214,6 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     one[np.arange(len(pairs)), group] = 1
     forward, backward = pairs @ one, pairs.T @ one  # item -> class, class -> item
     table = one.T @ forward
-    diagonal = np.arange(classes)
     for _ in range(rounds):
         moved = 0
         for w in order:
@@ -203,14 +226,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             table[old] -= r
             table[:, old] -= c
             table[old, old] -= own
-            base = xlogx(table)
-            rows = (xlogx(table + r[None, :]) - base).sum(1)
-            columns = (xlogx(table + c[:, None]) - base).sum(0)
-            d = table[diagonal, diagonal]
-            gain = rows + columns - (xlogx(d + r) - xlogx(d)) - (xlogx(d + c) - xlogx(d)) + xlogx(d + r + c + own) - xlogx(d)
-            # margins of a class, with what it exchanges with the item that is out of the table
-            out, into = table.sum(1) + c, table.sum(0) + r
-            gain -= xlogx(out + r.sum() + own) - xlogx(out) + xlogx(into + c.sum() + own) - xlogx(into)
+            gain = gains(table, r, c, own)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
                 new = int(old)
@@ -229,51 +245,166 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return group
 
 
+#: Numbers of a word's neighbours: classes before it, classes after it, itself after itself.
+SLOTS = 2 * CLASSES + 1
+
+
+def neighbours(docs: DataFrame, vocab: Vocabulary, group: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """hash, seen of the words in wanted(hash) but for the items, and maybe of others; several rows a word.
+
+    seen holds 64-bit numbers, count * SLOTS + slot, where classes are those of the items.
+    """
+    held, bits = docs.sparkSession.sparkContext.broadcast((vocab, group)), bit_filter(wanted)
+
+    def make():
+        v, classes = held.value
+        codes, first = Codes(v.hashes), len(v.hashes)
+        common = passes(bits.value, v.hashes) & (np.arange(first) >= WORDS)
+        total = np.zeros(first * SLOTS, np.int32)
+        waiting: list[np.ndarray] = []
+        tail: list[tuple[np.ndarray, np.ndarray]] = []
+        state = {"n": 0, "asked": 0, "rare": np.zeros(0, bool)}
+
+        def add():
+            if waiting:
+                keys, times = np.unique(np.concatenate(waiting), return_counts=True)
+                cut = np.searchsorted(keys, first * SLOTS)
+                total[keys[:cut]] += times[:cut].astype(np.int32)
+                tail.append((keys[cut:] - first * SLOTS, times[cut:]))
+                waiting.clear()
+                state["n"] = 0
+
+        def rows(keys, times, hashes):
+            word = keys // SLOTS
+            seen = times.astype(np.uint64) * np.uint64(SLOTS) + (keys % SLOTS).astype(np.uint64)
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            end = np.append(start[1:], len(word))
+            return [hashes[word[start]].tolist(), [seen[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist())]]
+
+        def emptied():
+            add()
+            out = [[], []]
+            if tail:
+                keys, times = (np.concatenate(x) for x in zip(*tail))
+                order = np.argsort(keys, kind="stable")
+                out = rows(keys[order], times[order], np.array(codes.hashes, np.int64))
+                tail.clear()
+            codes.empty()
+            state["asked"], state["rare"] = 0, np.zeros(0, bool)
+            return out
+
+        def step(c):
+            if c is None:
+                out, some = emptied(), np.flatnonzero(total)
+                return [a + b for a, b in zip(out, rows(some, total[some], v.hashes))]
+            for t in c["text"]:
+                words = tokens(t)
+                code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                if len(codes.hashes) > state["asked"]:
+                    new = np.array(codes.hashes[state["asked"] :], np.int64)
+                    state["asked"], state["rare"] = len(codes.hashes), np.concatenate([state["rare"], passes(bits.value, new)])
+                g = classes[items_of(code, codes, v.items)]
+                before, after = np.concatenate([code[-1:], code[:-1]]), np.concatenate([code[1:], code[:1]])
+                left, right = np.concatenate([g[-1:], g[:-1]]), CLASSES + np.concatenate([g[1:], g[:1]])
+                asked = np.zeros(len(code), bool)
+                usual = code < first
+                asked[usual] = common[code[usual]]
+                asked[~usual] = state["rare"][code[~usual] - first]
+                waiting.append(code[asked] * SLOTS + np.where(before == code, SLOTS - 1, left)[asked])
+                asked &= after != code
+                waiting.append(code[asked] * SLOTS + right[asked])
+                state["n"] += len(code)
+                if state["n"] > STRIDE:
+                    add()
+            return emptied() if len(codes) > HELD else None
+
+        return step
+
+    return arrow_map(docs.select("text"), make, "hash long, seen binary", flush=True)
+
+
+def assigned(seen: DataFrame, group: np.ndarray, table: np.ndarray) -> DataFrame:
+    """hash, class of each word of seen(hash, ending, seen): by exchange from the class of its ending."""
+    held = seen.sparkSession.sparkContext.broadcast((group, table))
+
+    def make():
+        classes, whole = held.value
+        k = len(whole)
+
+        def chosen(end, parts):
+            numbers = np.frombuffer(b"".join(parts), np.uint64)
+            counts = np.bincount((numbers % np.uint64(SLOTS)).astype(np.int64), numbers // np.uint64(SLOTS), SLOTS)
+            c, r, own, old = counts[:k], counts[CLASSES : CLASSES + k], counts[-1], int(classes[WORDS + end])
+            rest = whole.copy()
+            rest[old] -= r
+            rest[:, old] -= c
+            rest[old, old] -= own
+            gain = gains(rest, r, c, own)
+            new = int(gain.argmax())
+            return new if gain[new] > gain[old] + 1e-9 else old
+
+        return lambda c: [list(map(chosen, c["ending"], c["seen"]))]
+
+    return arrow_map(seen, make, "class int", ("hash",))
+
+
 @dataclass
 class Model:
     vocab: Vocabulary
     group: np.ndarray  # class of an item
+    common: np.ndarray  # class of a frequent word
     moves: np.ndarray  # log10 p(class | class before), [before, class]
     room: np.ndarray  # log10 of a class's tokens plus half its words and half an unseen one
 
 
+def assign(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, group: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """counts with class, null for words that go by their ending; counts is dropped."""
+    spark = docs.sparkSession
+    one = np.eye(int(group.max()) + 1)[group]
+    wanted = counts.where(F.col("count") >= LEAST)
+    seen = neighbours(docs, vocab, group, wanted.select("hash")).groupBy("hash").agg(F.collect_list("seen").alias("seen"))
+    moved = assigned(seen.join(wanted.select("hash", "ending"), "hash"), group, one.T @ pairs @ one)
+    items = spark.createDataFrame([(int(h), int(g)) for h, g in zip(vocab.hashes[:WORDS], group)], "hash long, class int")
+    out = stored(counts.join(moved.union(items), "hash", "left"))
+    dropped(counts)
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the stored counts(hash, ending, count) of docs; without docs every probability is 1."""
+    """The model and the stored counts(hash, ending, count, class) of docs; without docs every probability is 1."""
     source = docs.select(F.col(text).alias("text"))
     counts = stored(counted(source))
     vocab = vocabulary(counts)
     size = WORDS + ENDINGS
-    pairs = pair_counts(source, vocab) if vocab.total else np.zeros((size, size))
-    group = exchange(pairs) if vocab.total else np.zeros(size, np.int64)
+    if not vocab.total:
+        alone = np.log10([0.5])
+        return Model(vocab, np.zeros(size, np.int64), np.zeros(0, np.int64), np.zeros((1, 1)), alone), counts.withColumn("class", F.lit(None).cast("int"))
+    pairs = pair_counts(source, vocab)
+    group = exchange(pairs)
     classes = int(group.max()) + 1
-    # tokens and words of each item: endings from the whole table, less the words that are items of their own
-    tokens_in, words_in = np.zeros(size), np.zeros(size)
-    for r in counts.groupBy("ending").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).collect():
-        tokens_in[WORDS + r["ending"]], words_in[WORDS + r["ending"]] = r["tokens"], r["words"]
-    top = counts.orderBy(F.desc("count"), "hash").limit(WORDS).select("ending", "count").collect()
-    for i, r in enumerate(top):
-        tokens_in[i], words_in[i] = r["count"], 1
-        tokens_in[WORDS + r["ending"]] -= r["count"]
-        words_in[WORDS + r["ending"]] -= 1
-    sums = lambda x: np.bincount(group, x, classes)
-    one = np.zeros((size, classes))
-    one[np.arange(size), group] = 1
-    table = one.T @ pairs @ one
-    alone = (sums(tokens_in) + 1) / (vocab.total + classes)
-    moves = np.log10((table + classes * alone[None, :]) / (table.sum(1, keepdims=True) + classes))
-    room = np.log10(sums(tokens_in) + 0.5 * (sums(words_in) + 1))
-    return Model(vocab, group, moves, room), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.
-
-    Scores are log10 probabilities of the whole text with its end; base_score
-    is that of words alone, each with half a count more.  A null text is empty
-    and has one token, its end.  Other columns are ignored; repeated rows are
-    scored each.
+    counts = assign(source, counts, vocab, group, pairs)
+    top = counts.orderBy(F.desc("count"), "hash").limit(FREQUENT).select("class").toArrow().column("class").fill_null(-1).to_numpy()
+    common = np.where(top < 0, group[vocab.items], top).astype(np.int64)
+    tokens_in, words_in = np.zeros(classes), np.zeros(classes)
+    own = F.coalesce("class", -1 - F.col("ending"))
+    for r in counts.groupBy(own.alias("own")).agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).collect():
+        g = r["own"] if r["own"] >= 0 else group[WORDS - 1 - r["own"]]
+        tokens_in[g] += r["tokens"]
+        words_in[g] += r["words"]
+    model = Model(vocab, group, common, np.zeros((classes, classes)), np.log10(tokens_in + 0.5 * (words_in + 1)))
+    table = transitions(source, model, counts)
+    alone = (tokens_in + 1) / (vocab.total + classes)
+    model.moves = np.log10((table + classes * alone[None, :]) / (table.sum(1, keepdims=True) + classes))
+    return model, counts
+
+
+def sequences(columns: DataFrame, model: Model, keep: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """Stored: row, keep, common, logs, n_tokens, classes, tail, at of columns(keep, text).
+
+    classes has a byte for each token, where words in tail, at the places in
+    at, go by their ending; with wanted(hash), tail leaves out words that are not in it.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, bits = columns.sparkSession.sparkContext.broadcast(model), None if wanted is None else bit_filter(wanted)
 
     def make():
         m = held.value
@@ -285,12 +416,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
             for t in c["text"]:
                 words = tokens(t)
                 code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                g = m.group[items_of(code, codes, m.vocab.items)]
-                chain = m.moves[np.concatenate([g[-1:], g[:-1]]), g].sum() - m.room[g].sum()
-                common = code[code < first]
-                tail, times = np.unique(code[code >= first], return_counts=True)
-                hashes = [codes.hashes[i] for i in (tail - first).tolist()]
-                for o, v in zip(out, (len(words), len(common), float(logs[common].sum()), float(chain), hashes, times.astype(np.int32))):
+                usual = code < first
+                g = np.empty(len(code), np.uint8)
+                g[usual] = m.common[code[usual]]
+                at = np.flatnonzero(~usual)
+                rare = (code[at] - first).tolist()
+                g[at] = m.group[[WORDS + codes.endings[i] for i in rare]] if rare else 0
+                hashes = np.array([codes.hashes[i] for i in rare], np.int64)
+                if bits is not None:
+                    some = passes(bits.value, hashes)
+                    hashes, at = hashes[some], at[some]
+                for o, v in zip(out, (len(words), int(usual.sum()), float(logs[code[usual]].sum()), g.tobytes(), hashes, at.astype(np.int32))):
                     o.append(v)
                 if len(codes) > HELD:
                     codes.empty()
@@ -298,13 +434,79 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
         return step
 
-    columns = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    parts = arrow_map(columns, make, "n_tokens long, common long, logs double, chain double, tail array<long>, times array<int>", ("doc_id",))
-    parts = stored(parts.withColumn("row", F.monotonically_increasing_id()))
-    tail = parts.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.times").alias("times"))
-    found = tail.join(counts.select("hash", "count"), "hash", "left")
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0)).alias("met"))
-    both = parts.drop("tail", "times").join(sums, "row", "left").withColumn("all", F.col("logs") + F.coalesce("rest", F.lit(0.0)))
+    parts = arrow_map(columns, make, "n_tokens long, common long, logs double, classes binary, tail array<long>, at array<int>", keep)
+    return stored(parts.withColumn("row", F.monotonically_increasing_id()))
+
+
+def met(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """parts of sequences() without tail and at, but rest, met and changes: the logs and number of known words in tail, and their classes."""
+    tail = parts.select("row", F.explode(F.arrays_zip("tail", "at")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.at").alias("at"))
+    found = tail.join(counts.select("hash", "count", "class"), "hash", "left")
+    change = F.when(F.col("class").isNotNull(), F.col("at").cast("long") * 256 + F.col("class"))
+    sums = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 0.5)).alias("rest"), F.count("count").alias("met"), F.collect_list(change).alias("changes"))
+    return parts.drop("tail", "at").join(sums, "row", "left")
+
+
+def changed(classes: bytes, changes: list[int] | None) -> np.ndarray:
+    """The classes of a text's tokens, with those that were joined."""
+    g = np.frombuffer(classes, np.uint8).astype(np.int64)
+    if changes:
+        new = np.array(changes, np.int64)
+        g[new >> 8] = new & 255
+    return g
+
+
+def transitions(docs: DataFrame, model: Model, counts: DataFrame) -> np.ndarray:
+    """How often a class follows a class, with the classes that words have in the end."""
+    k = len(model.room)
+    parts = sequences(docs, model, wanted=counts.where("class is not null").select("hash"))
+    whole = met(parts, counts).select("classes", "changes")
+
+    def make():
+        total = np.zeros(k * k, np.int64)
+
+        def step(c):
+            if c is None:
+                some = np.flatnonzero(total)
+                return [some, total[some]]
+            held = []
+            for classes, changes in zip(c["classes"], c["changes"]):
+                g = changed(classes, changes)
+                held.append(np.concatenate([g[-1:], g[:-1]]) * k + g)
+            total[:] += np.bincount(np.concatenate(held), minlength=k * k)
+            return None
+
+        return step
+
+    rows = arrow_map(whole, make, "pair long, count long", flush=True).groupBy("pair").agg(F.sum("count").alias("count")).toArrow()
+    dropped(parts)
+    out = np.zeros(k * k)
+    out[rows.column("pair").to_numpy()] = rows.column("count").to_numpy()
+    return out.reshape(k, k)
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Scores are log10 probabilities of the whole text with its end; base_score
+    is that of words alone, each with half a count more.  A null text is empty
+    and has one token, its end.  Other columns are ignored; repeated rows are
+    scored each.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((model.moves, model.room))
+
+    def make():
+        moves, room = held.value
+
+        def chain(classes, changes):
+            g = changed(classes, changes)
+            return float(moves[np.concatenate([g[-1:], g[:-1]]), g].sum() - room[g].sum())
+
+        return lambda c: [list(map(chain, c["classes"], c["changes"]))]
+
+    parts = sequences(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), model, ("doc_id",))
+    both = arrow_map(met(parts, counts), make, "chain double", ("doc_id", "n_tokens", "common", "logs", "rest", "met"))
+    both = both.withColumn("all", F.col("logs") + F.coalesce("rest", F.lit(0.0)))
     base = float(np.log10(model.vocab.total + 0.5 * (model.vocab.distinct + 1)))
     out = both.select("doc_id", "n_tokens", (F.col("common") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"), F.lit(model.vocab.total).cast("long").alias("train_tokens"), (F.col("all") - F.col("n_tokens") * base).alias("base_score"), (F.col("all") + F.col("chain")).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

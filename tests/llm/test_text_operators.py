@@ -158,6 +158,35 @@ def test_probabilities_add_up(spark, odd_docs, no_docs):
     assert all(r["score"] == pytest.approx(0, abs=1e-6) for r in brown.score(odd_docs, nothing, none).collect())
 
 
+def test_words_after_the_first_items_get_classes_by_their_own_neighbours(spark, monkeypatch):
+    # beyond the first 1024 words two kinds of words share every ending, and differ only in their neighbours
+    rng = random.Random(5)
+    kinds = {k: [f"{k}{i}end" for i in range(150)] for k in "ab"}
+    lines = []
+    for n in range(800):
+        k, other = ("a", "x") if n % 2 else ("b", "y")
+        lines.append(" ".join(rng.choice(kinds[k]) if rng.random() < 0.1 else f"{other}{rng.randrange(520)}" for _ in range(100)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    # few frequent words, so that classes are joined as well as sent
+    monkeypatch.setattr(brown, "FREQUENT", 1150)
+    model, counts = brown.fit(docs)
+    digest = brown.word_hash()
+    rows = {r["hash"]: r for r in counts.collect()}
+    of = lambda w: rows[int(np.array(digest(w.encode()), np.uint64).view(np.int64))]
+    classes = {k: {of(w)["class"] for w in ws if of(w)["count"] >= brown.LEAST} for k, ws in kinds.items()}
+    assert None not in classes["a"] | classes["b"] and not classes["a"] & classes["b"]
+    # the transitions are those of the classes that words have in the end
+    ends = {w: r["class"] if (r := of(w))["class"] is not None else int(model.group[brown.WORDS + r["ending"]]) for t in lines for w in [*t.split(), "\n"]}
+    table = np.zeros(model.moves.shape)
+    for t in lines:
+        g = [ends[w] for w in [*t.split(), "\n"]]
+        np.add.at(table, ([g[-1], *g[:-1]], g), 1)
+    assert (brown.transitions(docs, model, counts) == table).all()
+    monkeypatch.undo()
+    alike, _ = brown.fit(docs)
+    assert np.allclose(alike.moves, model.moves)
+
+
 # rules
 
 
