@@ -219,6 +219,19 @@ def test_rules_against_plain_counts(spark, documents, odd_docs, no_docs):
     assert rules.score(no_docs, ratio).collect() == []
 
 
+def test_verdict_on_held_out_rows_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    marks = {r["doc_id"]: r for r in labels.collect()}
+    trusted = spark.createDataFrame([(i,) for i, r in marks.items() if r["quality"] == 1 and r["toxic"] == 0 and not held(i)], "doc_id long")
+    langs = {r["doc_id"]: r["lang"] for r in docs.join(labels, "doc_id").select("doc_id", "lang").collect()}
+    rows = [r for r in rules.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), rules.ratios(docs, trusted)).select("doc_id", "base_failed", "kept").collect() if held(r["doc_id"]) and not r["base_failed"]]
+    assert np.mean([r["kept"] for r in rows if marks[r["doc_id"]]["quality"] == 1]) > 0.99
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([not r["kept"] for r in rows if marks[r["doc_id"]]["quality"] == 0 and langs[r["doc_id"]] == lang]) > 0.9
+
+
 # BPE
 
 STRANGE = ["", " ", "a<|endoftext|>b <|startoftext|>", "İΣΣ ΑΣ Ab's it'S don't ½ ²³  x\u0085y z​q", "naïve café Å ﬁ ﬀ", "日本語テキスト 한국어 ไทย", "a" * 1000, "ab" * 700 + "!!!" * 300, "\x00\x1f\x7f", "😀👩‍👩‍👧 ẹ́", "I'LL we'Re 'sss", "<|endoftext", "ǅ ẞ ŉ ΐ", "१२३ Ⅷ ⅷ"]
