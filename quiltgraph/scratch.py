@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; one of our own only where that is unset."""
+    """A new path below spark.checkpoint.dir.
+
+    Where that is unset, a folder of our own serves in local mode, where driver
+    and executors are one process; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quiltgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/quiltgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -62,10 +69,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, in whatever store the path names."""
-    out = _system(spark, _path(spark, path)).create(_path(spark, path), True)
+    """One small file, in whatever store the path names; written beside and renamed, so that a reader finds the old one or the new one whole."""
+    beside = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = _system(spark, beside).create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    where = _system(spark, beside).makeQualified(beside)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(where, _system(spark, beside).makeQualified(_path(spark, path)), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
