@@ -6,16 +6,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stored, unstored as dropped  # noqa: F401
+
 #: Rows of one Arrow batch that a Python step sees at once.
 SLICE_ROWS = 256
 #: Rows and bytes of one Arrow batch between the JVM and Python.
@@ -37,71 +37,43 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="quiltgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quiltgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quilt_path = path
-    return out
+def sent(spark: SparkSession, value):
+    """A broadcast of value, whatever its class: get(sent) gives it back on an executor, which needs no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
-def dropped(df: DataFrame | None) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "_quilt_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def get(held):
+    """What sent() sent, once a task."""
+    from pyspark import cloudpickle
 
+    return cloudpickle.loads(held.value)
 
-#: Bits of a filter over hashes; with more hashes than it can tell apart it only lets more through.
-FILTER_BITS = 1 << 25
 
-
-def bit_of(hash: Column) -> Column:
-    """The filter's bit of a 64-bit hash."""
-    return hash.bitwiseAND(F.lit(FILTER_BITS - 1))
+#: Bits of a filter over hashes for each of them, and the least and most bits; beyond the most (64 MB) it lets more through.
+FILTER_RATE, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 29
+#: Bits of one row of Spark's bitmaps.
+BITMAP = 8 * 4096
 
 
 def bit_filter(hashes: DataFrame):
-    """A broadcast array of bits over the one column of hashes; its size is fixed, 4 MB."""
-    name = hashes.columns[0]
-    bit = hashes.select((bit_of(F.col(name)) + 1).alias("bit"))
-    rows = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    """A broadcast array of bits over the one column of hashes, sized by their number, a power of 2 between fixed bounds."""
+    name, count = hashes.columns[0], hashes.count()
+    size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_RATE * count - 1).bit_length())) if count else FILTER_LEAST
+    bit = hashes.select((F.col(name).bitwiseAND(F.lit(size - 1)) + 1).alias("bit"))
+    rows = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).toLocalIterator()
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["bucket"] - 1) * 4096 :][: len(part)] = part
+        out[(r["bucket"] - 1) * BITMAP // 8 :][: len(part)] = part
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (signed or unsigned) have their bit set."""
-    at = (hashes & hashes.dtype.type(FILTER_BITS - 1)).astype(np.int64)
+    at = (hashes & hashes.dtype.type(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of shuffle files of plans that are done: they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remainder(column: str, divisor: int):
     """crc32 of the id as text, modulo divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -3,37 +3,54 @@
 Sets whose sizes fall into one band, or neighbouring bands, and whose Jaccard
 similarity reaches the threshold differ in at most k elements.  The domain of
 shingles is hashed into n1 partitions of n2 cells each.  Some partition holds
-at most k2 = k / n1 of the differences, and with n2 = k2 + 1 one of its cells
-holds none; so every subset of one cell, with its band and place, is a
-signature, and similar sets share one whose partition differs in at most k2.
-
-Equal sets are one node from the start.  Inside the group of a signature all
-nodes are held against the least one; what is then still in different
-components is held against each other.  Before any pair is formed, parity
-sketches must allow it, of the signature's partition and of the whole sets: of
-their bits no more can differ than elements do.  Pairs that are formed are
-decided on the whole sets.
+at most k2 = (k + 1) / n1 - 1 of the differences, so at least n2 - k2 of its
+cells hold none: every subset of n2 - k2 cells, with its band and place, is a
+signature, and similar sets share one in a partition that differs in at most
+k2.  Subsets of several cells name more elements than a single cell would, so
+sets that merely resemble each other seldom share one.
+
+Equal sets are one node from the start.  Nodes of a group, that is of one
+signature, take turns by a hash: in every round those whose turn has come are
+held against the ones that come later, unless both are in one component
+already.  The first partition's signatures go first, so that sets that share
+many are mostly joined by one.  Before a pair is formed, parity sketches must
+allow it, of the signature's partition and of the whole sets: of their bits no
+more can differ than elements do.  Pairs that are formed are decided on the
+whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bit_filter, dropped, mixed, passes, released, shingles, signed, stored, word_hashes
+from .common import arrow_map, bit_filter, dropped, mixed, passes, shingles, signed, stored, word_hashes
 from .links import components
 
 #: Nodes whose signatures a task remembers to have given.
 SEEN = 500_000
-#: 64-bit words of a whole set's sketch, and the most cells of a partition.
-SKETCH, CELLS = 4, 8
-#: Pairs for each row of the groups up to which all that are left are held against their sketches at once.
-PAIRS = 1000
+#: 64-bit words of a whole set's sketch.
+SKETCH = 4
+#: Most cells of a partition and differences it may hold, and the signatures of a set for each of k + 2, but at least FEW.
+CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
+#: Nodes of a group that meet in their turn in the first round, how this grows from round to round, and nodes that a task holds against them.
+TURN, GROWTH, PART = 2, 4, 4096
+
+
+def shape(k: int) -> tuple[int, int, int]:
+    """n1, n2 and k2 for sets that differ in at most k elements: of those with few enough signatures, the one whose signatures name most."""
+    most = max(FEW, RATE * (k + 2))
+    found = []
+    for k2 in range(1, min(k, HELD) + 1):
+        n1 = -(-(k + 1) // (k2 + 1))
+        found += [((n2 - k2) / (n1 * n2), -n1 * comb(n2, k2), n1, n2, k2) for n2 in range(k2 + 1, CELLS + 1) if n1 * comb(n2, k2) <= most]
+    return max(found)[2:]
 
 
 @dataclass(frozen=True)
@@ -57,32 +74,28 @@ class Measure:
         """The most elements in which two similar sets of up to ``largest`` can differ."""
         return 2 * largest * (100 - self.percent) // (100 + self.percent)
 
-    def layout(self, size: int) -> list[tuple[int, int, int]]:
-        """Band, n1 and n2 for each of the two bands; none where only equal sets are similar, since those are one node."""
-        out = []
-        for number, largest in self.bands(size):
-            if k := self.differences(largest):
-                n1 = -(-(k + 1) // CELLS)
-                out.append((number, n1, k // n1 + 1))
-        return out
+    def layout(self, size: int) -> list[tuple[int, int, int, int]]:
+        """Band, n1, n2 and k2 for each of the two bands; none where only equal sets are similar, since those are one node."""
+        return [(number, *shape(k)) for number, largest in self.bands(size) if (k := self.differences(largest))]
 
     def signatures(self, shingled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of every cell its signature, and of every partition its parity sketch, in the order of layout()."""
-        cells_out, parts_out = [], []
-        for number, n1, n2 in self.layout(len(shingled)):
-            cells = n1 * n2
+        """All signatures, partition by partition, and the parity sketch of every partition, in the order of layout()."""
+        names, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for number, n1, n2, k2 in self.layout(len(shingled)):
             seed = mixed(np.array([number + 1], np.uint64))
             m = mixed(shingled ^ seed)
-            cell = ((m >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+            cell = ((m >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
             m = mixed(m)
-            low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
-            high = np.bincount(cell, (m >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
-            place = mixed(seed + np.arange(cells, dtype=np.uint64))
-            cells_out.append(mixed(mixed(low + (high << np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15)) ^ place))
+            low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(np.float64), n1 * n2).astype(np.uint64)
+            high = np.bincount(cell, (m >> np.uint64(32)).astype(np.float64), n1 * n2).astype(np.uint64)
+            cells = mixed(mixed(low + (high << np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15)) ^ mixed(seed + np.arange(n1 * n2, dtype=np.uint64))).reshape(n1, n2)
+            # a subset is named by the sum of its cells' names: that of the whole partition less the cells left out
+            out = np.stack([cells.sum(1, dtype=np.uint64) - cells[:, list(left)].sum(1, dtype=np.uint64) for left in combinations(range(n2), k2)], 1)
+            kind = mixed(np.uint64(0x5EED) + np.arange(out.shape[1], dtype=np.uint64))
+            names.append(mixed(out ^ kind[None, :]).ravel())
             odd = np.bincount(cell // n2 * 64 + (m >> np.uint64(58)).astype(np.int64), minlength=n1 * 64) & 1
-            parts_out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *cells_out]), np.concatenate([none.view(np.int64), *parts_out])
+            parts.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        return np.concatenate(names), np.concatenate(parts)
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -130,41 +143,43 @@ def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
 
 
 def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
-    """signature, node, part and most, for signatures that several nodes have: the partition's sketch, and the most bits that may differ."""
+    """signature, node, part, most and lead, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
     own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
     # a partial sum meets hot signatures before the shuffle
     count = own.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
-    held = bit_filter(count.where("n > 1").select("signature"))
+    several = stored(count.where("n > 1").select("signature"))
+    held = bit_filter(several)
+    dropped(several)
 
     def make():
         bits = held.value
 
         def step(c):
-            out: tuple[list, ...] = ([], [], [], [])
-            for node, size, cells, parts in zip(c["node"], c["n_shingles"], c["signatures"], c["parts"]):
-                cells = np.array(cells, np.int64)
-                hit = passes(bits, cells)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for node, size, names, parts in zip(c["node"], c["n_shingles"], c["signatures"], c["parts"]):
+                names = np.array(names, np.int64)
+                hit = passes(bits, names)
                 if not hit.any():
                     continue
-                layout = measure.layout(size)
-                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, n2) for _, n1, n2 in layout]))
-                most = np.concatenate([np.full(n1 * n2, n2 - 1, np.int32) for _, n1, n2 in layout])
-                for o, v in zip(out, (cells[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit])):
+                layout = [(n1, comb(n2, k2), k2) for _, n1, n2, k2 in measure.layout(size)]
+                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, each) for n1, each, _ in layout]))
+                most = np.concatenate([np.full(n1 * each, k2, np.int32) for n1, each, k2 in layout])
+                lead = np.concatenate([np.arange(n1 * each) < each for n1, each, _ in layout])
+                for o, v in zip(out, (names[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit], lead[hit])):
                     o.append(v)
             return [np.concatenate(o) for o in out] if out[0] else None
 
         return step
 
-    return arrow_map(own, make, "signature long, node long, part long, most int").dropDuplicates(["signature", "node"])
+    return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean").dropDuplicates(["signature", "node"])
 
 
 def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
-    """node and its shingles, of the nodes in wanted(node), where a task meets them first.
+    """node and its shingles, of the nodes in wanted(node, doc_id), where a task meets them first.
 
-    A filter of fixed size over one document of each node spares other texts
-    the hashing; the join settles what it lets through.
+    A filter over one document of each node spares other texts the hashing;
+    the join settles what it lets through.
     """
-    wanted = stored(wanted.select("node", "doc_id"))
     held = bit_filter(wanted.select(F.xxhash64("doc_id").alias("hash")))
 
     def make():
@@ -210,42 +225,62 @@ def plausible(measure: Measure) -> Column:
     return sizes & (differing("part") <= F.col("a_most")) & (bits * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent))
 
 
-def linked(members: DataFrame, measure: Measure, sets_for: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node and component of every node in a verified link, over the groups members(signature, node, part, most, n, s0, ...).
+def turns(groups: DataFrame) -> DataFrame:
+    """groups with turn and parts, for signatures of several nodes only: the turn is spread evenly over 0 to the group's size, by a hash of the node."""
+    sizes = groups.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1")
+    share = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+    out = groups.join(sizes, "signature").withColumn("turn", (share * F.col("size")).cast("float"))
+    return out.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).drop("size")
+
+
+def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFrame:
+    """The plausible pairs(a, b) of nodes whose turn is from low up to high with those of a later turn, in different components.
 
-    Every round holds the nodes of each group against its least one, unless
-    both are in one component already, and leaves that one out afterwards.
-    Once there are at most PAIRS pairs of different components for each row,
-    they are all held against their sketches at once, so the result is whole.
-    sets_for(pairs) gives the whole sets of the nodes in pairs(a, b).
+    A group of many nodes is dealt into parts, and the nodes whose turn it is are held against each part.
     """
-    told = ["part", "most", "n", *(f"s{i}" for i in range(SKETCH)), "component"]
-    side = lambda df, x: df.select("signature", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in told])
-    links = None
-    rest = members.withColumn("component", F.col("node"))
-    most = PAIRS * members.count()
-    while True:
-        least = rest.groupBy("signature").agg(F.min("node").alias("node"))
-        heads = stored(side(rest.join(least, ["signature", "node"]), "a"))
-        pairs = stored(heads.join(side(rest, "b"), "signature").where("a <> b and a_component <> b_component").where(plausible(measure)).select("a", "b").distinct())
-        found = similar(pairs, sets_for(pairs), measure)
-        links, old = stored(found if links is None else found.union(links)), links
-        joined = components(links)
-        left = rest.drop("component").join(heads.select("signature", F.col("a").alias("node")), ["signature", "node"], "left_anti")
-        left = stored(left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        spans = left.groupBy("signature", "component").agg(F.count("*").alias("k")).groupBy("signature").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        spans = stored(spans.where("parts > 1"))
-        number = spans.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if number:
-            rest = stored(left.join(spans.select("signature"), "signature", "left_semi"))
-        for table in (old, heads, pairs, left, spans):
-            dropped(table)
-        if not number:
-            return joined
-        if number <= most:
-            pairs = side(rest, "a").join(side(rest, "b"), "signature").where("a < b and a_component <> b_component").where(plausible(measure))
-            pairs = stored(pairs.select("a", "b").distinct())
-            return components(stored(similar(pairs, sets_for(pairs), measure).union(links)))
+    told = ["part", "most", "n", *(f"s{i}" for i in range(SKETCH)), "turn", "component"]
+    side = lambda df, x: df.select("signature", "deal", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in told])
+    heads = rest.where((F.col("turn") >= low) & (F.col("turn") < high)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = rest.where(F.col("turn") >= low).withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "node"), F.col("parts")).cast("int"))
+    both = side(heads, "a").join(side(others, "b"), ["signature", "deal"])
+    later = (F.col("a_turn") < F.col("b_turn")) | ((F.col("a_turn") == F.col("b_turn")) & (F.col("a") < F.col("b")))
+    return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
+
+
+def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """node and component of every node in a verified link, over members(signature, lead, turn, parts, node, part, most, n, s0, ...).
+
+    Two nodes of a group meet in the round of the one whose turn is earlier, so
+    every pair that the sketches allow is decided, but for those that are in
+    one component by then.  A group is left when all of its nodes are in one
+    component, or each has had its turn.
+    """
+    links = joined = None
+    for lead in (True, False):
+        rest, low, high = members.where(F.col("lead") == lead), 0.0, float(TURN)
+        own: list[DataFrame] = []
+        while True:
+            named = rest.withColumn("component", F.col("node")) if joined is None else rest.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            named = stored(named)
+            open_ = named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("turn").alias("last"))
+            open_ = stored(open_.where((F.col("x") != F.col("y")) & (F.col("last") >= low)).select("signature"))
+            if open_.isEmpty():
+                for table in (named, open_, *own):
+                    dropped(table)
+                break
+            here = stored(named.join(open_, "signature", "left_semi"))
+            pairs = stored(formed(here, low, high, measure))
+            found = stored(similar(pairs, sets, measure))
+            if not found.isEmpty():
+                links, old = found if links is None else stored(found.union(links)), links
+                was, joined = joined, components(links)
+                dropped(old)
+                dropped(was)
+            for table in (named, open_, pairs, *own):
+                dropped(table)
+            rest, own = here.drop("component"), [here]
+            low, high = high, high * GROWTH
+    return joined if joined is not None else members.select("node", F.col("node").alias("component")).where("false")
 
 
 def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,30 +294,22 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
-    groups = stored(groups_of(first, measure))
-    shared = stored(groups.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("signature"))
-    groups, all_groups = groups.join(shared, "signature", "left_semi"), groups
+    groups = stored(turns(groups_of(first, measure)))
     nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     sketches = first.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
     members = stored(groups.join(known.drop("doc_id"), "node"))
     rows = stored(first.select("doc_id", "n_shingles", "node"))
-    for table in (all_groups, shared, first):
+    for table in (groups, first):
         dropped(table)
-    del groups, nodes, sketches
-    released(docs.sparkSession)
-
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return stored(sets_of(docs, measure, known.join(asked, "node", "left_semi")))
-
-    joined = linked(members, measure, sets_for)
+    sets = stored(sets_of(docs, measure, known.select("node", "doc_id")))
+    joined = linked(members, sets, measure)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rows = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
-    names = stored(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (members, known):
+    whole = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
+    names = stored(whole.groupBy("node").agg(F.min("doc_id").alias("component_id")))
+    for table in (members, known, sets, joined):
         dropped(table)
-    return rows.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
+    return whole.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         changed = step.where("new <> component").limit(1).count()
         dropped(labels)
         labels = step.select("node", F.col("new").alias("component"))
-        labels._quilt_path = step._quilt_path
+        labels._stored_at = step._stored_at
         if not changed:
             dropped(both)
             return labels

@@ -128,6 +128,37 @@ def test_similar_sets_share_a_signature():
                 assert np.intersect1d(measure.signatures(a)[0], measure.signatures(b)[0]).size
 
 
+def test_every_layout_covers_its_differences():
+    for k in range(1, 400):
+        n1, n2, k2 = jaccard.shape(k)
+        # spread over n1 partitions, k differences leave one with at most k2, and n2 - k2 of its cells are free of them
+        assert k // n1 <= k2 < n2 and k2 >= 1
+
+
+def test_pairs_of_a_group_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    counts, similar = [], jaccard.similar
+
+    def counted(pairs, *rest):
+        counts[-1] += pairs.count()
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    measure = jaccard.Measure(3, 90)
+    for size in (150, 600):
+        rng = random.Random(size)
+        base = words(rng, 60)
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for at in rng.sample(range(60), 2):
+                w[at] = f"x{rng.randrange(40)}"
+            rows.append((i, " ".join(w)))
+        counts.append(0)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), measure).collect()}
+        assert got == plain_classes(rows, measure)
+    assert counts[1] <= 6 * max(counts[0], 150) and counts[1] <= 3 * 600
+
+
 def test_classes_of_odd_tables(odd_docs, no_docs):
     out = jaccard.classes(odd_docs).collect()
     assert len(out) == 10 and {r["component_id"] for r in out if r["doc_id"] in (4, 5, None)} == {4}
