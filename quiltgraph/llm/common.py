@@ -99,7 +99,16 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], out: str, keep: tuple
     types = [_PA[kind] for _, kind in own]
     kinds = dict(df.dtypes)
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{n}` {'bigint' if k == 'long' else k.replace('long', 'bigint')}" for n, k in own])
-    need = [c for c in df.columns if c not in keep or c in kinds]
+
+    class Columns(dict):
+        """The columns of a slice, as lists once they are asked for."""
+
+        def __init__(self, part: pa.RecordBatch):
+            self.part = part
+
+        def __missing__(self, name: str) -> list:
+            self[name] = self.part.column(name).to_pylist()
+            return self[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -111,8 +120,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], out: str, keep: tuple
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                columns = {c: part.column(c).to_pylist() for c in need}
-                result = step(columns)
+                result = step(Columns(part))
                 if result is not None:
                     yield made(result, [part.column(c) for c in keep])
         if flush:

@@ -10,25 +10,28 @@ found would lie nearer with probability SURE, the search stops.
 A kd-tree over a bounded sample's projections deals all vectors into cells.
 Each query first searches the cells nearest to it, which bounds its k-th
 distance, and then every further cell that the stopping test doesn't rule
-out; within a cell the leaves are visited from the nearest on.
+out; within a cell the leaves are visited from the nearest on.  Vectors are
+copied once for each block of queries that asks their cell, and not at all
+where none does.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, session, stored
+from .common import arrow_map, get, sent, session, stored
 
-DIMENSIONS, SURE, SEED = 12, 0.97, 11
-#: Vectors the tree is built from, at most; vectors a cell should hold; queries searched together; vectors of a leaf.
-SAMPLE, CELL, QUERIES, LEAF = 20_000, 512, 1024, 128
+DIMENSIONS, SURE, SEED = 12, 0.95, 11
+#: Vectors the tree is built from, at most; vectors a cell should hold; vectors and queries searched together, at most about; vectors of a leaf.
+SAMPLE, CELL, PART, QUERIES, LEAF = 20_000, 2048, 8192, 4096, 128
 #: Cells that a query searches to bound its k-th distance.
-FIRST = 3
+FIRST = 2
 
 
 def chi_square_quantile(freedom: int, p: float) -> float:
@@ -132,7 +135,7 @@ class Frame:
         best: list[list[tuple[float, int]]] = [[] for _ in qids]
         bound = kth.copy()
         limit = self.radius(q, bound)
-        worst = np.full(len(qids), np.iinfo(np.int64).max)
+        worst, long = np.full(len(qids), np.iinfo(np.int64).max), np.sqrt((q * q).sum(1))
         # step s takes each query to its s-th nearest leaf; queries at the same leaf go together
         order = np.argsort(near, axis=1, kind="stable")
         for step in range(len(parts)):
@@ -142,13 +145,16 @@ class Frame:
                 break
             for number in np.unique(leaf[alive]):
                 some, rows = np.flatnonzero(alive & (leaf == number)), parts[number]
-                # einsum sums every pair in the same order, so equal vectors get equal products
-                products = np.einsum("qd,xd->qx", q[some], x[rows])
-                own = ids[rows][None, :] == qids[some][:, None]
-                good = ~own & ((products > bound[some, None]) | ((products == bound[some, None]) & (ids[rows][None, :] < worst[some, None])))
+                # products of whole matrices are rounded differently from place to place: what they leave is summed pair by pair
+                slack = 1e-12 * x.shape[1] * long[some] * self.largest
+                good = (q[some] @ x[rows].T >= (bound[some] - slack)[:, None]) & (ids[rows][None, :] != qids[some][:, None])
                 for at in np.flatnonzero(good.any(1)):
-                    i, hit = some[at], np.flatnonzero(good[at])
-                    found = sorted([*best[i], *zip((-products[at, hit]).tolist(), ids[rows[hit]].tolist())])[: self.k]
+                    i, hit = some[at], rows[good[at]]
+                    products = (x[hit] * q[i]).sum(1)
+                    true = (products > bound[i]) | ((products == bound[i]) & (ids[hit] < worst[i]))
+                    if not true.any():
+                        continue
+                    found = sorted([*best[i], *zip((-products[true]).tolist(), ids[hit[true]].tolist())])[: self.k]
                     best[i] = found
                     if len(found) == self.k:
                         bound[i], worst[i] = -found[-1][0], found[-1][1]
@@ -171,49 +177,53 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row whose id is divisible by ``every``.
 
-    Candidates are all other ids.  Vectors that are null, zero or hold null or
-    non-finite components take no part, nor those whose length isn't the most
-    common one (of equals, the shorter).  Ties go to the smaller id; a repeated
-    id is one candidate for each different vector it has.  An empty table has no rows.
+    Candidates are all other ids whose vectors have the query's length; each
+    length that occurs is searched by itself.  Vectors that are null, zero or
+    hold null or non-finite components take no part, nor do rows without an
+    id.  Ties go to the smaller id.  Of a query id that is repeated the least
+    vector (the shortest, then by its numbers) is searched with; as a candidate
+    an id counts once for each different vector it has.  Repeated rows count
+    once, other columns are ignored, and an empty table has no rows.
     """
     session(vectors)
-    rows = usable(vectors, id, vector)
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    if sizes is None:
+    rows = usable(vectors, id, vector).withColumn("size", F.size("v"))
+    sizes = sorted((r["size"], r["n"]) for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect())
+    if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, n = sizes["size"], sizes["n"]
-    rows = stored(rows.where(F.size("v") == size).dropDuplicates())
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("size", "v")).alias("least")).select("vec_id", "least.*")
+    found = [_searched(rows.where(F.col("size") == size), queries.where(F.col("size") == size), size, n, k) for size, n in sizes]
+    return reduce(DataFrame.union, found)
+
+
+def _searched(rows: DataFrame, queries: DataFrame, size: int, n: int, k: int) -> DataFrame:
+    """The result of nearest() for rows(vec_id, v) of one length, about n of them, and queries(vec_id, v)."""
+    rows = stored(rows.select("vec_id", "v").dropDuplicates())
     largest = rows.agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))).first()[0]
     frame = Frame(math.sqrt(largest), size, k)
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
     depth = max(0, min(math.ceil(math.log2(max(1, n / CELL))), int(math.log2(max(1, len(sample) / 8)))))
     frame.tree = Tree(frame.data(sample), depth)
-    held = rows.sparkSession.sparkContext.broadcast(frame)
-    width = size
+    held = sent(rows.sparkSession, frame)
 
     def placed():
-        f = held.value
-        return lambda c: [f.tree.cell(f.data(np.array(c["v"]).reshape(-1, width))).astype(np.int32).tolist()]
+        f = get(held)
+        return lambda c: [f.tree.cell(f.data(np.array(c["v"]).reshape(-1, size))).astype(np.int32).tolist()]
 
     cells = stored(arrow_map(rows, placed, "cell int", ("vec_id", "v")))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    # a cell of many equal vectors is dealt into parts, and queries into blocks
-    parts = F.broadcast(counts.select("cell", F.ceil(F.col("n") / (4 * CELL)).cast("int").alias("parts")))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-asked.count() // QUERIES))
-    data = cells.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else data.withColumn("block", F.lit(0))
+    asked = stored(queries.select("vec_id", "v"))
+    # there are at most SAMPLE / 8 cells, so tables of cells are small
+    parts = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
 
     def routed(kth: DataFrame | None) -> DataFrame:
-        """The queries, once for each cell they are to search."""
+        """The queries with the cells they are to search."""
         source = asked.withColumn("kth", F.lit(-math.inf)) if kth is None else asked.join(kth, "vec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-math.inf)))
         rest = kth is not None
 
         def make():
-            f = held.value
+            f = get(held)
 
             def step(c):
-                q, bound = np.array(c["v"]).reshape(-1, width), np.array(c["kth"], float)
+                q, bound = np.array(c["v"]).reshape(-1, size), np.array(c["kth"], float)
                 p = f.query(q)
                 d = f.tree.distances(p)
                 order = np.argsort(d, axis=1, kind="stable")
@@ -224,21 +234,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id"
 
             return step
 
-        out = arrow_map(source, make, "cells array<int>", ("vec_id", "v", "kth")).select("vec_id", "v", "kth", F.explode("cells").alias("cell"))
-        out = out.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return out.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        return stored(arrow_map(source, make, "cells array<int>", ("vec_id", "v", "kth")))
+
+    def found(asking: DataFrame) -> DataFrame:
+        """Products found in the cells that asking(vec_id, v, kth, cells) names: a cell of many vectors is dealt into parts, and its queries into blocks."""
 
-    def found(queries: DataFrame) -> DataFrame:
         def group(left: pa.Table, right: pa.Table) -> pa.Table:
             a, b, c = [], [], []
             if left.num_rows and right.num_rows:
-                matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(-1, width)
-                a, b, c = held.value.search(left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right), right.column("kth").to_numpy())
+                matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                a, b, c = get(held).search(left.column("vec_id").to_numpy(), matrix(left), right.column("vec_id").to_numpy(), matrix(right), right.column("kth").to_numpy())
             return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
+        each = asking.withColumn("cell", F.explode("cells")).drop("cells")
+        load = F.broadcast(each.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(parts, "cell"))
         keys = ["cell", "part", "block"]
-        one, two = data.select(*keys, "vec_id", "v"), queries.select(*keys, "vec_id", "v", "kth")
-        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(group, "query_id bigint, vec_id bigint, score double")
+        one = cells.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        two = each.join(load, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return one.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(two.select(*keys, "vec_id", "v", "kth").groupBy(*keys)).applyInArrow(group, "query_id bigint, vec_id bigint, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = stored(found(routed(None)))
