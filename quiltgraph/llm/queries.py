@@ -60,8 +60,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = brown.fit(docs.where(remainder("doc_id", 5) != 1))
-    return brown.score(docs, model, counts).select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    out = brown.fit_and_score(docs, remainder("doc_id", 5) != 1)
+    return out.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
