@@ -2,8 +2,9 @@
 
 Every source is a flow whose documents come in a shuffled order, pass after
 pass.  A copy's virtual finish time is the source's cumulative tokens over its
-target; copies are served in the order of finish times until the total budget
-is used.
+target, where the copy itself counts by half, so that a source ends at the copy
+that lies nearest to its target.  Copies are served in the order of finish
+times until the total budget is used, again by the nearest copy.
 
 Running sums never need one task: rows fall into buckets of the shuffled
 order (or of finish time), bucket totals are summed first, and a window runs
@@ -19,9 +20,9 @@ from .common import stored
 
 #: Times that a document may be taken, and so the most a target is of its source's size.
 PASSES = 3
-#: Rows that a bucket holds on average, and the buckets of finish time in one unit.
+#: Rows that a bucket holds on average, and the buckets of all finish times.
 BUCKET_ROWS = 500
-TICKS = 4096
+TICKS = 16384
 SEED = 20240229
 
 
@@ -67,7 +68,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     document without words costs nothing and is taken once.  Null sources form
     a source of their own; null ids and repeated rows take part like any other
     row.  The order within a source is by a seeded hash of id and text, so
-    reruns agree.  rid is xxhash64 of the text; other columns are ignored.
+    reruns agree.  A source takes its target but for about half a document; the
+    total may pass the budget by half of the last one.  Very long texts are
+    counted whole.  rid is xxhash64 of the text;
+    other columns are ignored.
     """
     rid = F.xxhash64(F.col(text))
     sized = stored(docs.select(F.col(id).alias("doc_id"), rid.alias("rid"), flow(source).alias("flow"), words(text).alias("size"), F.xxhash64(F.lit(SEED), F.col(id), F.col(text)).alias("place")))
@@ -84,28 +88,31 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     run = placed.withColumn("within", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside)).join(offsets, ["flow", "bucket"])
 
     # a copy of each pass has its virtual finish time; at 1 every source has its target
-    upto = F.col("within") + F.col("offset")
+    upto = F.col("within") + F.col("offset") - F.col("size") / 2
     finish = F.array(*[F.when(F.col("target") > 0, (upto + F.col("source_size") * k) / F.col("target")).otherwise(F.lit(0.0)) for k in range(PASSES)])
     queued = stored(run.withColumn("finish", finish).drop("within", "offset"))
-    copies = queued.where("size > 0").select("flow", "place", "nth", "size", F.explode("finish").alias("time")).where(F.col("time") < 2)
+    copies = queued.where("size > 0").select("flow", "place", "nth", "size", F.explode("finish").alias("time"))
 
-    # the tick in which the budget runs out, and what the ticks before it take
-    tick = lambda t: F.floor(t * TICKS)
+    # the tick in which the budget runs out, and what the ticks before it take; the pace of a time, from 0 to 1, keeps their number bounded
+    pace = lambda t: t / (t + 1) * TICKS
+    tick = lambda t: F.floor(pace(t))
     sums = copies.groupBy(tick(F.col("time")).alias("tick")).agg(F.sum("size").alias("tick_size"))
     running = F.sum("tick_size").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = sums.withColumn("upto", running).where(F.col("upto") > total).orderBy("tick").limit(1).collect()
-    last, before = (edge[0]["tick"], edge[0]["upto"] - edge[0]["tick_size"]) if edge else (2 * TICKS, total)
+    last, before = (edge[0]["tick"], edge[0]["upto"] - edge[0]["tick_size"]) if edge else (TICKS, total)
     sure = queued.withColumn("sure", F.size(F.filter("finish", lambda t: tick(t) < last)))
 
     # that one tick is served in its exact order, in ranges of time
     served = copies.where(tick(F.col("time")) == last)
     ranges = max(1, served.count() // BUCKET_ROWS)
-    served = served.withColumn("range", F.floor((F.col("time") * TICKS - last) * ranges))
+    served = served.withColumn("range", F.floor((pace(F.col("time")) - last) * ranges))
     sums = served.groupBy("range").agg(F.sum("size").alias("range_size"))
     earlier = F.sum("range_size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("range", F.coalesce(earlier, F.lit(0)).alias("offset"))
     order = Window.partitionBy("range").orderBy("time", "flow", "place", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    served = served.withColumn("within", F.sum("size").over(order)).join(offsets, "range").where(F.col("within") + F.col("offset") + before <= total)
+    # in this order the middles of copies never fall back, so at most one copy reaches beyond the budget
+    middle = F.col("within") + F.col("offset") + before - F.col("size") / 2
+    served = served.withColumn("within", F.sum("size").over(order)).join(offsets, "range").where(middle <= total)
     extra = served.groupBy("flow", "place", "nth").agg(F.count("*").alias("extra"))
     out = sure.join(extra, ["flow", "place", "nth"], "left")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(1).cast("int"))
@@ -116,13 +123,16 @@ def repeated(docs: DataFrame, text: str = "text", source: str = "source", id: st
     """The rows of docs, each as often as the mix takes it.
 
     Rows with the same id and text are taken as often as the mix takes them in
-    all; which of them is repeated is not told apart.
+    all; which of them is repeated is not told apart.  Only such rows are numbered.
     """
     taken = mix(docs, text, source, id).groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    taken = stored(taken)
     rows = docs.withColumn("_own", F.xxhash64(F.col(text)))
-    single = rows.join(taken, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rid")))
+    own = lambda some: rows.join(some, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rid")))
+    single = own(taken.where("_rows = 1")).withColumn("_times", F.col("_copies").cast("int"))
     # of several equal rows, the first ones take what doesn't divide evenly
-    nth = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_id", "_rid").orderBy("_rid")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_rid").orderBy("_rid"))
     share = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
-    out = single.withColumn("_times", share.cast("int")).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    out = single.union(own(taken.where("_rows > 1")).withColumn("_times", share.cast("int")))
+    out = out.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.drop("_own", "_id", "_rid", "_copies", "_rows", "_times", "_time")
