@@ -12,15 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, get, sent
 
 #: Hash buckets, longest gram, and what a share is multiplied with.
 BUCKETS, LONGEST, SCALE = 1 << 16, 3, 10.0
-#: Labelled documents that the classifier is fitted on, at most: those least by the hash of their id.
-SAMPLE = 2400
+#: Documents of each language that the classifier is fitted on, at most: those least by the hash of their id.
+SAMPLE = 600
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 0.1, 0.02, 0.1, 4
 #: Characters held as numbers at once; longer texts are summed over blocks.
 BLOCK = 1 << 20
@@ -39,15 +39,14 @@ class Grams:
     """Texts to the buckets of their grams."""
 
     def __init__(self):
-        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+        # of every code point, whether it is a letter
+        self.letter = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
     def codes(self, text: str) -> np.ndarray:
         """Lower-case letters, with every run of other characters as one 0, and a 0 at both ends."""
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        # beyond the first plane every character counts as a letter but for the symbols and emoji at 1F000-1FAFF
-        is_letter = self.letter[np.minimum(raw, 0xFFFF)] | ((raw > 0xFFFF) & ~((raw >= 0x1F000) & (raw < 0x1FB00)))
         out = np.zeros(len(raw) + 2, np.uint32)
-        out[1:-1] = np.where(is_letter, raw, 0)
+        out[1:-1] = np.where(self.letter[raw], raw, 0)
         stay = np.ones(len(out), bool)
         stay[1:] = (out[1:] != 0) | (out[:-1] != 0)
         return out[stay]
@@ -178,12 +177,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` documents with a language; without any, a model that knows none.
+    """A model from at most ``sample`` documents of each language; without any, a model that knows none.
 
-    Rows with a null language or null text are left out.
+    Rows with a null id, language or text are left out; of ids that are
+    repeated every row counts.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = [r[0] for r in usable.select(id).where(F.col(id).isNotNull()).orderBy(F.xxhash64(id), id).limit(sample).collect()]
+    # the row numbers are limited within each input partition before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    least = usable.where(F.col(id).isNotNull()).select(F.col(lang).alias("lang"), F.col(id).alias("id"), F.xxhash64(id).alias("hash")).withColumn("nth", nth).where(F.col("nth") <= sample)
+    ids = sorted({r["id"] for r in least.select("id").collect()})
     if not ids:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long").dropDuplicates()
@@ -211,12 +214,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """``keep``, lang_pred string and score double, one row for each row of docs.
 
     A null text, one without a letter, or any text under a model that knows no
-    language gets ``und`` with score 0.  Ties go to the first language by code point.
+    language gets ``und`` with score 0.  A letter is what Unicode calls one, in
+    any plane.  Very long texts are read whole, in blocks; repeated rows and null
+    ids are kept.  Ties go to the first language by code point.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def make():
-        m, grams = held.value, Grams()
+        m, grams = get(held), Grams()
 
         def step(c):
             texts = [t or "" for t in c[text]]

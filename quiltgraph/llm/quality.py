@@ -10,20 +10,24 @@ not seen.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, stored
+from .common import arrow_map, dropped, get, sent, stored
 
 #: Bytes of a piece, of a dictionary, and the compression level.
 PIECE, DICTIONARY, LEVEL = 2048, 65536, 3
 #: Labelled documents of each class that the classifier is fitted on, at most: those least by the hash of their id.
 SAMPLE = 3000
-#: Pieces of each class and fold that a dictionary is built from, at most.
+#: Pieces of each class and half that a dictionary is built from, at most, of those documents: the ones least by a hash.  It bounds what
+#: the driver holds (20 MB), since texts may have any length.
 PIECES = 2500
+#: Fewest pieces that a dictionary is trained on, and bytes of text for each byte of it.
+LEAST_PIECES, RATIO = 64, 8
 #: Bytes added to a length, so that few bytes show little.
 SHRINK = 64
 
@@ -39,14 +43,20 @@ class Model:
 
 
 def dictionary(pieces: list[bytes]) -> bytes:
-    """A trained dictionary; of too few pieces, the pieces themselves."""
+    """A trained dictionary of 1/RATIO of the text's size, at most DICTIONARY bytes.
+
+    Fewer than LEAST_PIECES pieces, or texts in which the trainer finds no
+    repeated parts, give none: then the end of the text itself is the
+    dictionary, as zstandard's raw content.
+    """
     import zstandard
 
-    if sum(map(len, pieces)) >= 8 * DICTIONARY and len(pieces) >= 64:
+    size = min(DICTIONARY, sum(map(len, pieces)) // RATIO)
+    if len(pieces) >= LEAST_PIECES:
         try:
-            return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
-        except zstandard.ZstdError:
-            pass
+            return zstandard.train_dictionary(size, pieces).as_bytes()
+        except zstandard.ZstdError as e:
+            warnings.warn(f"no dictionary could be trained on {len(pieces)} pieces, raw content is used: {e}", stacklevel=2)
     return (b"\n".join(pieces))[-DICTIONARY:] or b"\n" * 8
 
 
@@ -87,10 +97,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from labelled documents: at most ``sample`` of each label 0 and 1.
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str = "doc_id", pieces: int = PIECES) -> Model:
+    """A model from labelled documents, and of their text at most ``pieces`` pieces of each label and half.
 
-    Rows with a null label are left out.  Without rows of both labels the score
+    The difference of every document goes into the logistic curve, over its
+    whole text.  Rows with a null label are left out; repeated rows count as
+    often as they occur; those with a null id are in one half.  Without rows of both labels the score
     is a constant, the share of label 1 after adding one row of each.
     """
     columns = labelled.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
@@ -113,11 +125,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", id: str =
 
         return step
 
-    pieces = arrow_map(chosen, cut, "label int, fold int, place string, piece binary")
+    cuts = arrow_map(chosen, cut, "label int, fold int, place string, piece binary")
     parts = {}
     for y in (0, 1):
         for f in (0, 1):
-            rows = pieces.filter((F.col("label") == y) & (F.col("fold") == f)).orderBy(F.xxhash64("place"), "place").limit(PIECES).select("piece").collect()
+            rows = cuts.filter((F.col("label") == y) & (F.col("fold") == f)).orderBy(F.xxhash64("place"), "place").limit(pieces).select("piece").collect()
             parts[y, f] = [bytes(r["piece"]) for r in rows]
     halves = {f: tuple(dictionary(parts[y, f]) for y in (1, 0)) for f in (0, 1)}
 
@@ -145,13 +157,14 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, train, id: str = "do
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and score double in [0, 1], one row for each row of docs.
 
-    Null and empty texts score as a difference of 0; kept columns named score
+    Null and empty texts score as a difference of 0, very long ones as a whole;
+    equal texts get equal scores and repeated rows stay; a null id is kept; kept columns named score
     are replaced; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def make():
-        m = held.value
+        m = get(held)
         sizer = Sizer(m.good, m.bad) if m.good is not None else None
 
         def step(c):
