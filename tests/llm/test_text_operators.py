@@ -181,7 +181,20 @@ def test_words_after_the_first_items_get_classes_by_their_own_neighbours(spark,
     for t in lines:
         g = [ends[w] for w in [*t.split(), "\n"]]
         np.add.at(table, ([g[-1], *g[:-1]], g), 1)
-    assert (brown.transitions(docs, model, counts) == table).all()
+    k = len(model.room)
+    whole = brown.classed(brown.encoded(docs, model.vocab), model, counts)
+    assert (brown.transitions(whole, k) == table).all()
+    # scores are those of a plain class bigram
+    alone = (table.sum(0) + 1) / (table.sum() + k)
+    moves = (table + k * alone) / (table.sum(1, keepdims=True) + k)
+    members = Counter(ends[w] for w in {w for t in lines for w in [*t.split(), "\n"]})
+    unknown = {w: int(model.group[brown.WORDS + brown.ending(w.encode())]) for w in ("never", "seen")}
+    asked = [lines[0] + " never " + lines[1] + " seen", "", lines[2]]
+    for r in brown.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, counts).collect():
+        ws = [*asked[r["doc_id"]].split(), "\n"]
+        g = [ends[w] if w in ends else unknown[w] for w in ws]
+        p = [moves[a, b] * ((of(w)["count"] if w in ends else 0) + 0.5) / (table[:, b].sum() + 0.5 * (members[b] + 1)) for a, b, w in zip([g[-1], *g[:-1]], g, ws)]
+        assert r["score"] == pytest.approx(np.log10(p).sum()) and r["n_known"] == sum(w in ends for w in ws)
     monkeypatch.undo()
     alike, _ = brown.fit(docs)
     assert np.allclose(alike.moves, model.moves)
