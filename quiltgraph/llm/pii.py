@@ -3,8 +3,10 @@
 What a pattern finds is validated (check digits, calendar, ranges) and then
 permuted within its own format by a keyed Feistel network, so a card number
 stays a valid card number and a date a date.  A value has one pseudonym per
-key and kind wherever it occurs, however it is punctuated, and the inverse
-network restores it.
+key and kind wherever it occurs, and the inverse network restores it.  Numbers
+are linked however they are punctuated, a day in whatever order it is written,
+and a telephone number with its country code or without; e-mail addresses and
+secrets are linked by their characters.
 """
 
 from __future__ import annotations
@@ -128,14 +130,18 @@ def ssn(key: bytes, text: str, back: bool) -> str | None:
     return with_digits(text, f"{walked(key, 'ssn', 10**9, x, back, valid):09d}") if valid(x) else None
 
 
+#: Country codes of one and two digits; all others have three.
+COUNTRY_1 = "1 7".split()
+COUNTRY_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def phone(key: bytes, text: str, back: bool) -> str | None:
+    """The country code stays, and what follows it is permuted alike with it and without."""
     d = only_digits(text)
     if not 8 <= len(d) <= 15:
         return None
-    # the country code, or what stands for it, stays
-    head = len(only_digits(re.match(r"\+?\d*", text)[0])) if text.startswith("+") else 0
-    head = min(head, 3, len(d) - 6)
-    return with_digits(text, d[:head] + symbols(key, "phone" + d[:head], d[head:], back, (DIGITS,)))
+    head = 0 if not text.startswith("+") else 1 if d[0] in COUNTRY_1 else 2 if d[:2] in COUNTRY_2 else 3
+    return with_digits(text, d[:head] + symbols(key, "phone", d[head:], back, (DIGITS,)))
 
 
 def ipv4(key: bytes, text: str, back: bool) -> str | None:
@@ -168,9 +174,10 @@ def date(key: bytes, text: str, back: bool) -> str | None:
         part = {"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}
         return tuple(part[f] for f in form)
 
-    # only dates that would be read in the same way again, so that the inverse finds its way back
-    x = walked(key, "date" + form + mark, DAYS, x, back, lambda x: read(*written(x))[1] == form)
-    return mark.join(written(x))
+    # days up to the 12th and later ones keep to themselves, so that what is written is read in the same order again
+    late = lambda x: datetime.date.fromordinal(FIRST_DAY + x).day > 12
+    own = late(x)
+    return mark.join(written(walked(key, "date", DAYS, x, back, lambda x: late(x) == own)))
 
 
 def email(key: bytes, text: str, back: bool) -> str | None:
@@ -253,9 +260,10 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[s
     """``keep``, text, n_found int, kinds, starts, ends and pseudonyms, one row for each row of docs.
 
     text has the pseudonyms in it; starts and ends are character places in the
-    original text.  A null text stays null with nothing found; kept columns
-    with the name of a result column are replaced.  back restores what the
-    same key made.
+    original text.  A null text stays null with nothing found, an empty one
+    empty; very long texts are read whole; repeated rows are kept and get the
+    same pseudonyms; null ids are kept; kept columns with the name of a result
+    column are replaced.  back restores what the same key made.
     """
 
     def make():
