@@ -8,7 +8,10 @@ from a heap instead.
 
 Text is prepared as the vocabulary file states: special tokens are cut out
 first, then NFC, white space runs to one space, lower case character by
-character, the file's pattern, and bytes mapped to printable characters.
+character, the file's pattern, and bytes mapped to printable characters.  What
+is a letter and what its lower case is depends on the version of Unicode; for
+code points that our tables and the tokenizers library's may disagree on, the
+library is asked once, when the file is loaded.
 """
 
 from __future__ import annotations
@@ -36,15 +39,49 @@ def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
+    others, lower = newer(path)
     return {
         "vocab": model["vocab"],
         "merges": [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]],
         "suffix": model["end_of_word_suffix"] or "",
         "pattern": split["pattern"]["Regex"],
         "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
+        "others": others,
+        "lower": lower,
     }
 
 
+def newer(path: str) -> tuple[list[int], dict[int, str]]:
+    """Of the letters and numbers that are younger than unicodedata: those that are neither to the library, and what it lowers."""
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    word = regex.compile(r"[\p{L}\p{N}]")
+    pieces = lambda text: len(library.pre_tokenizer.pre_tokenize_str(text))
+    others, lower = [], {}
+    for c in map(chr, range(0x110000)):
+        if unicodedata.category(c) != "Cn" or not word.match(c):
+            continue
+        if (low := library.normalizer.normalize_str(c)) != c.lower():
+            lower[ord(c)] = low
+        # a letter goes on with a letter, a number stands alone, and other characters go on with each other only
+        if pieces(f"a{low}") == 2 and pieces(low * 2) == 1:
+            others.append(ord(c))
+    return others, lower
+
+
+def ranges(codes: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 def byte_letters() -> list[str]:
     """The printable character of each byte: itself where it prints, else the next from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -71,14 +108,22 @@ class Codec:
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.number = {i: str(i) for i in self.token}
         self.words = regex.compile(spec["pattern"])
+        # texts with characters that are younger than a table are rare, and take a slower way
+        self.lower, self.young = spec["lower"], frozenset(map(chr, [*spec["others"], *spec["lower"]]))
+        self.late = regex.compile(f"[{min(self.young)}-\U0010ffff]") if self.young else None
+        less = lambda kind: f"[\\p{{{kind}}}--[{ranges(spec['others'])}]]"
+        self.young_words = regex.compile(spec["pattern"].replace(r"\p{L}", less("L")).replace(r"\p{N}", less("N")), regex.V1) if spec["others"] else self.words
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, list[int]] = {}
 
-    def prepared(self, text: str) -> str:
-        """White space needs no folding: it only separates words."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def prepared(self, text: str) -> list[str]:
+        """The words of a text; white space needs no folding, since it only separates them."""
+        if text.isascii():
+            return self.words.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if self.late is None or not self.late.search(text) or self.young.isdisjoint(text):
+            return self.words.findall(text.lower())
+        return self.young_words.findall(text.translate(self.lower).lower())
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
@@ -128,7 +173,7 @@ class Codec:
 
     def plain(self, text: str, ids: list[int]) -> None:
         known = self.known
-        for word in self.words.findall(self.prepared(text)):
+        for word in self.prepared(text):
             found = known.get(word)
             if found is None:
                 if len(known) >= CACHE:
