@@ -2,8 +2,8 @@
 
 Lines are compared as sequences of words with A-Z in lower case.  A line goes
 if an earlier one, by document id and line number, is equal to it or, for
-lines of at least NEAR words, at most one word away (replaced, added or left
-out).  Lines of fewer than LEAST words stay.
+lines of enough words, at most one word away (replaced, added or left out).
+Lines of few words and few characters stay; Rule says how many are few.
 
 Equal lines meet by hash.  For the others, a line and its neighbour share the
 half that the edit is not in, so only lines of which another line has a half
@@ -17,20 +17,32 @@ over 64-bit word hashes, so a batch of texts takes a few array operations.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bit_filter, dropped, mixed, passes, signed, stored, word_hashes
 
-#: Fewest words of a line that may go, and of one that may go for a near line.
-LEAST, NEAR = 5, 10
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: A place is id * WIDE + line number.
 WIDE = 10**10
 LAST = (1 << 63) - 1
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A line may go if it has ``words`` words, or ``chars`` characters in them as in scripts without spaces; for a near line if it has ``near`` words."""
+
+    words: int = 5
+    chars: int = 40
+    near: int = 10
+
+    def takes(self, words: list[bytes]) -> bool:
+        return len(words) >= self.words or len(b"".join(words).decode("utf-8", "surrogatepass")) >= self.chars
+
+
 class Runs:
     """hash(i, j) of the words i..j-1 of one array of word hashes, for arrays i and j."""
 
@@ -52,7 +64,7 @@ class Runs:
 class Lines:
     """The lines of a batch of texts that may go: text number, line number, and their words in one array."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], rule: Rule):
         self.text: list[int] = []
         self.number: list[int] = []
         sizes, words = [], []
@@ -61,7 +73,7 @@ class Lines:
                 continue
             for k, line in enumerate(t.encode("utf-8", "surrogatepass").lower().split(b"\n")):
                 w = line.split()
-                if len(w) >= LEAST:
+                if rule.takes(w):
                     self.text.append(i)
                     self.number.append(k)
                     sizes.append(len(w))
@@ -84,15 +96,15 @@ class Lines:
         return signed(np.stack(out, 1))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, rid, number, h1, h2, halves of every line that may go, for docs(doc_id, rid, text)."""
 
     def make():
         def step(c):
-            lines = Lines(c["text"])
+            lines = Lines(c["text"], rule)
             if not lines.text:
                 return None
-            halves = [h if n >= NEAR else None for h, n in zip(list(lines.halves()), lines.size)]
+            halves = [h if n >= rule.near else None for h, n in zip(list(lines.halves()), lines.size)]
             return [[c["doc_id"][i] for i in lines.text], [c["rid"][i] for i in lines.text], lines.number, lines.h1, lines.h2, halves]
 
         return step
@@ -100,7 +112,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, make, "doc_id long, rid long, number int, h1 long, h2 long, halves array<long>")
 
 
-def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def words_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """h1, h2 and the word hashes of the lines in wanted(h1, h2), where a task meets them first, and maybe of others."""
     held = bit_filter(wanted.select("h1"))
 
@@ -108,9 +120,9 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen, bits = set(), held.value
 
         def step(c):
-            lines = Lines(c["text"])
+            lines = Lines(c["text"], rule)
             a, b, words = [], [], []
-            for i in np.flatnonzero(passes(bits, lines.h1) & (lines.size >= NEAR)):
+            for i in np.flatnonzero(passes(bits, lines.h1) & (lines.size >= rule.near)):
                 both = int(lines.h1[i]), int(lines.h2[i])
                 if both not in seen:
                     if len(seen) >= 200_000:
@@ -161,12 +173,12 @@ def one_edit(a: list[int], b: list[int]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def near(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
+def near(docs: DataFrame, found: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
     """place of every distinct line whose first occurrence has an earlier line one word away."""
     halves = found.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least < most").select("half")
     wanted = stored(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(first, ["h1", "h2"]).select("h1", "h2", "place"))
-    lines = stored(words_of(docs, wanted).join(wanted, ["h1", "h2"]).select("place", "words").dropDuplicates(["place"]))
+    lines = stored(words_of(docs, wanted, rule).join(wanted, ["h1", "h2"]).select("place", "words").dropDuplicates(["place"]))
     keys = stored(variants(lines))
     whole = F.col("gone") < 0
     # a whole line and one without a word: one is the other plus a word
@@ -188,17 +200,20 @@ def near(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """doc_id, rid and the sorted numbers (from 0) of the lines that go, for documents that lose some.
 
     rid is xxhash64 of the text, so that rows which share an id but not the
     text are told apart; lines at one place of rows with the same id don't
-    remove each other.  Null ids come last.  Null texts have no lines.
+    remove each other.  Of equal lines the first by place stays, so ties don't
+    occur.  Null ids come last.  Null texts have no lines, empty ones a line
+    without words, which stays; very long texts are read whole; other columns
+    are ignored.
     """
     own = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("rid"), F.col(text).alias("text"))
-    found = stored(occurrences(own).withColumn("place", (F.coalesce("doc_id", F.lit(LAST)).cast("decimal(19,0)") * F.lit(WIDE).cast("decimal(11,0)") + F.col("number").cast("decimal(10,0)")).cast("decimal(30,0)")))
+    found = stored(occurrences(own, rule).withColumn("place", (F.coalesce("doc_id", F.lit(LAST)).cast("decimal(19,0)") * F.lit(WIDE).cast("decimal(11,0)") + F.col("number").cast("decimal(10,0)")).cast("decimal(30,0)")))
     first = stored(found.groupBy("h1", "h2").agg(F.min("place").alias("place")))
-    close = near(own, found, first)
+    close = near(own, found, first, rule)
     kept = stored(first.join(close.withColumn("near", F.lit(True)), "place", "left").select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")))
     gone = found.select("doc_id", "rid", "number", "h1", "h2", "place").join(kept, ["h1", "h2"]).where("near or place <> first")
     out = stored(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("number")).alias("removed")))
@@ -207,14 +222,14 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """Every row of docs, its text without the lines that go, and removed array<int>.
 
     Lines that stay, and the line breaks between them, are as they were; a
     text all of whose lines go is empty; null stays null.  A column named
     removed is replaced.
     """
-    gone = removals(docs, id, text).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("removed").alias("_removed"))
+    gone = removals(docs, id, text, rule).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("removed").alias("_removed"))
     base = docs.drop("removed").withColumn("_rid0", F.xxhash64(F.col(text)))
     joined = base.join(gone, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_rid0") == F.col("_rid")), "left")
     stay = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda l, i: ~F.array_contains(F.col("_removed"), i)), "\n")
@@ -222,9 +237,9 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return out.withColumn("removed", F.coalesce("_removed", F.array().cast("array<int>"))).drop("_id", "_rid", "_rid0", "_removed")
 
 
-def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed and the removed numbers joined by commas."""
-    gone = removals(docs, id, text).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), "removed")
+    gone = removals(docs, id, text, rule).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), "removed")
     own = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("rid"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long").alias("n_lines"))
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

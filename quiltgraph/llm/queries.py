@@ -85,7 +85,7 @@ _LINES_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents),
 worded AS (SELECT doc_id, number, {_WORDS.format("line")} AS w FROM lines),
-occurrence AS (SELECT doc_id, number, w FROM worded WHERE len(w) >= 5),
+occurrence AS (SELECT doc_id, number, w FROM worded WHERE len(w) >= 5 OR length(array_to_string(w, '')) >= 40),
 line AS (SELECT w, min((doc_id, number)) AS place FROM occurrence GROUP BY w),
 variant AS (
   SELECT place, len(w) AS size, -1 AS gone, w AS rest FROM line WHERE len(w) >= 10
