@@ -56,10 +56,14 @@ BITMAP = 8 * 4096
 
 
 def bit_filter(hashes: DataFrame):
-    """A broadcast array of bits over the one column of hashes, sized by their number, a power of 2 between fixed bounds."""
+    """A broadcast array of bits over the one column of 64-bit hashes, sized by their number, a power of 2 between fixed bounds.
+
+    Each hash sets two bits, by its low and its high half.
+    """
     name, count = hashes.columns[0], hashes.count()
     size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_RATE * count - 1).bit_length())) if count else FILTER_LEAST
-    bit = hashes.select((F.col(name).bitwiseAND(F.lit(size - 1)) + 1).alias("bit"))
+    low, high = F.col(name).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(size - 1))
+    bit = hashes.select(F.explode(F.array(low + 1, high + 1)).alias("bit"))
     rows = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).toLocalIterator()
     out = np.zeros(size // 8, np.uint8)
     for r in rows:
@@ -69,9 +73,14 @@ def bit_filter(hashes: DataFrame):
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes (signed or unsigned) have their bit set."""
-    at = (hashes & hashes.dtype.type(8 * len(bits) - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    """Which of the hashes (signed or unsigned) have both their bits set."""
+    h = hashes.astype(np.int64).view(np.uint64)
+    last = np.uint64(8 * len(bits) - 1)
+    is_set = lambda at: (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    out = is_set(h & last)
+    some = np.flatnonzero(out)
+    out[some] = is_set(h[some] >> np.uint64(32) & last)
+    return out
 
 
 def remainder(column: str, divisor: int):

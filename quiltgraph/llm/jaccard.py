@@ -40,7 +40,7 @@ SKETCH = 4
 #: Most cells of a partition and differences it may hold, and the signatures of a set for each of k + 2, but at least FEW.
 CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
 #: Nodes of a group that meet in their turn in the first round, how this grows from round to round, and nodes that a task holds against them.
-TURN, GROWTH, PART = 2, 4, 4096
+TURN, GROWTH, PART = 2, 8, 4096
 
 
 def shape(k: int) -> tuple[int, int, int]:
@@ -294,13 +294,14 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
-    groups = stored(turns(groups_of(first, measure)))
+    found = stored(groups_of(first, measure))
+    groups = stored(turns(found))
     nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     sketches = first.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
     members = stored(groups.join(known.drop("doc_id"), "node"))
     rows = stored(first.select("doc_id", "n_shingles", "node"))
-    for table in (groups, first):
+    for table in (found, groups, first):
         dropped(table)
     sets = stored(sets_of(docs, measure, known.select("node", "doc_id")))
     joined = linked(members, sets, measure)
