@@ -21,15 +21,15 @@ def words(rng, n):
 # lines
 
 
-def plain_removals(rows):
+def plain_removals(rows, rule=lines.Rule()):
     first, seen = {}, []
     for i, text in sorted(rows):
         for k, line in enumerate((text or "").split("\n")):
             w = tuple(line.encode().lower().split())
-            if len(w) >= lines.LEAST:
+            if len(w) >= rule.words or sum(len(x.decode()) for x in w) >= rule.chars:
                 first.setdefault(w, (i, k))
                 seen.append((i, k, w))
-    long = sorted((p, w) for w, p in first.items() if len(w) >= lines.NEAR)
+    long = sorted((p, w) for w, p in first.items() if len(w) >= rule.near)
     near = {w for x, (_, w) in enumerate(long) for _, v in long[:x] if lines.one_edit(list(v), list(w))}
     out = defaultdict(list)
     for i, k, w in seen:
@@ -63,6 +63,15 @@ def test_lines_against_all_pairs(spark):
         assert r["text"] == "\n".join(want)
 
 
+def test_lines_of_scripts_without_spaces_and_of_other_rules(spark):
+    long = "日本語" * 20
+    rows = [(0, f"{long}\nkurz"), (1, f"kurz\n{long}"), (2, "a b c\nd e f g"), (3, "d e f h\na b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in (lines.Rule(), lines.Rule(words=3, chars=4, near=4)):
+        got = {r["doc_id"]: [int(x) for x in r["removed"].split(",")] for r in lines.report(df, rule=rule).collect() if r["removed"]}
+        assert got == plain_removals(rows, rule)
+
+
 def test_lines_of_odd_tables(odd_docs, no_docs):
     out = lines.report(odd_docs).collect()
     assert len(out) == 10 and [r["n_removed"] for r in out if r["doc_id"] in (4, 5)] == [0, 1, 1]

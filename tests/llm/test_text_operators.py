@@ -52,6 +52,34 @@ def test_permutations_are_one_to_one():
     assert pii.replaced("4111-1111-1111-1111", KEY)[0].replace("-", "") == pii.replaced("4111111111111111", KEY)[0]
 
 
+def test_a_value_is_linked_however_it_is_written():
+    def of(text):
+        return pii.replaced(f"see {text}, ok", KEY)[1][0][3]
+
+    import datetime
+
+    for day in ("1985-02-28", "1985-02-07"):
+        y, m, d = day.split("-")
+        american = of(f"{m}/{d}/{y}").split("/")
+        written = of(day).split("-"), of(f"{y}/{m}/{d}").split("/"), of(f"{d}.{m}.{y}").split(".")[::-1], [american[2], *american[:2]]
+        assert len({datetime.date(*map(int, x)) for x in written}) == 1
+    y, m, d = of("1985-02-28").split("-")
+    assert of("28/02/1985") == f"{d}/{m}/{y}" and of("28-02-1985") == f"{d}-{m}-{y}"
+    bare = {pii.only_digits(of(t))[-10:] for t in ("+1 (212) 555-0100", "+12125550100", "(212) 555-0100", "212-555-0100", "212.555.0100")}
+    assert len(bare) == 1
+    assert pii.only_digits(of("+44 20 7946 0958"))[:2] == "44" and pii.only_digits(of("+442079460958")) == pii.only_digits(of("+44 20 7946 0958"))
+    assert of("123-45-6789") != "123-45-6789"
+
+
+def test_days_are_permuted_one_to_one():
+    """Against a plain list of all days of some years."""
+    import datetime
+
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(3 * 365)]
+    new = [pii.date(KEY, d.isoformat(), False) for d in days]
+    assert len(set(new)) == len(days) and [pii.date(KEY, n, True) for n in new] == [d.isoformat() for d in days]
+
+
 def test_pii_on_tables(spark, documents, odd_docs, no_docs):
     rows = queries.op1_pii(spark, SF).join(documents.select("doc_id", documents.text.alias("was")), "doc_id").collect()
     assert sum(r["n_found"] for r in rows) > 40
@@ -104,6 +132,17 @@ def test_language_of_odd_tables(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, langid.fit(no_docs)).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode_in_every_plane():
+    import unicodedata
+
+    grams = langid.Grams()
+    letters = [c for c in range(0x110000) if unicodedata.category(chr(c)).startswith("L")]
+    assert np.flatnonzero(grams.letter).tolist() == letters
+    for c in (0x1D7D8, 0x1FBF0, 0x10100, 0xE0041, 0x1F600, 0x30):
+        assert grams.sums([chr(c) * 3], np.ones((langid.BUCKETS, 1), np.float32))[1][0] == 0
+    assert grams.sums([chr(0x20000)], np.ones((langid.BUCKETS, 1), np.float32))[1][0] > 0
+
+
 def test_long_texts_are_summed_over_blocks(monkeypatch):
     grams = langid.Grams()
     text = " ".join(f"wort{i}" for i in range(500))
@@ -250,6 +289,20 @@ def test_verdict_on_held_out_rows_by_language(spark):
 STRANGE = ["", " ", "a<|endoftext|>b <|startoftext|>", "İΣΣ ΑΣ Ab's it'S don't ½ ²³  x\u0085y z​q", "naïve café Å ﬁ ﬀ", "日本語テキスト 한국어 ไทย", "a" * 1000, "ab" * 700 + "!!!" * 300, "\x00\x1f\x7f", "😀👩‍👩‍👧 ẹ́", "I'LL we'Re 'sss", "<|endoftext", "ǅ ẞ ŉ ΐ", "१२३ Ⅷ ⅷ"]
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    codec = bpe.Codec(bpe.load(path))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}1{c}{c}!{c}" for c in points]
+    for at in range(0, len(texts), 100_000):
+        some = texts[at : at + 100_000]
+        wrong = [hex(ord(t[1])) for t, e in zip(some, library.encode_batch(some, add_special_tokens=False)) if codec.encode(t) != e.ids]
+        assert not wrong
+
+
 def test_ids_and_text_equal_the_library(spark, documents, odd_docs, no_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
