@@ -110,7 +110,7 @@ def reduce_fully(pattern: Pattern, relations: Catalog, top_down_first: bool = Fa
     With ``seeds``, edges that a view has reduced already, the first sweep starts at those.
     """
     out = {e: stored(df) for e, df in relations.items()}
-    depth = dict.fromkeys(out, 0)
+    depth, made = dict.fromkeys(out, 0), list(out.values())
     steps = schedule(pattern, top_down_first)
     if seeds:
         known = set(seeds)
@@ -125,7 +125,12 @@ def reduce_fully(pattern: Pattern, relations: Catalog, top_down_first: bool = Fa
         depth[e] = max(depth[e], depth[by]) + 1
         if depth[e] > DEPTH:
             out[e], depth[e] = stored(out[e]), 0
-    return {e: stored(df) if depth[e] else df for e, df in out.items()}
+            made.append(out[e])
+    out = {e: stored(df) if depth[e] else df for e, df in out.items()}
+    for df in made:
+        if all(df is not kept for kept in out.values()):
+            unstored(df)
+    return out
 
 
 def candidates(pattern: Pattern, relations: Catalog) -> dict[int, DataFrame]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +38,27 @@ def _system(spark: SparkSession, where):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_open = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes at the end: for work whose results are written elsewhere."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        for path in paths:
+            remove(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = folder(spark)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -74,12 +95,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = _system(spark, beside).create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    _rename(spark, beside, _path(spark, path))
+
+
+def _rename(spark: SparkSession, old, new) -> None:
+    """In place of what is there."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     kind = jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(kind, 1)
     options[0] = kind.OVERWRITE
-    where = _system(spark, beside).makeQualified(beside)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(where, _system(spark, beside).makeQualified(_path(spark, path)), options)
+    where = _system(spark, old).makeQualified(old)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(where, _system(spark, new).makeQualified(new), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

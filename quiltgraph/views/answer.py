@@ -122,9 +122,10 @@ def prepared(graph: PropertyGraph, query: Pattern, views: Sequence[View], reduce
     return r, relations
 
 
-def _order(r: Rewriting, views: Sequence[View]) -> list[int]:
-    sizes = [0.0 if n.view is None else float(views[n.view].stats.get("rows", {n.part: 0})[n.part]) for n in r.nodes]
-    return node_order(r, sizes)
+def _order(graph: PropertyGraph, r: Rewriting, views: Sequence[View]) -> list[int]:
+    """By the rows of parts and the numbers of vertices with a label."""
+    alone = direct.Sizes(graph, r.query)
+    return node_order(r, [float(alone[n.vertices[0]]) if n.view is None else float(views[n.view].stats.get("rows", {n.part: 0})[n.part]) for n in r.nodes])
 
 
 def count(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none") -> DataFrame:
@@ -135,7 +136,7 @@ def count(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: in
         return graph.vertices.sparkSession.createDataFrame([(0,)], "n long")
     if not r.used:
         return direct.count(graph, query, limit=limit, reduce=reduce)
-    return direct.total(pipeline(graph, r, views, relations, _order(r, views), True), limit)
+    return direct.total(pipeline(graph, r, views, relations, _order(graph, r, views), True), limit)
 
 
 def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none") -> DataFrame:
@@ -146,7 +147,7 @@ def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit:
         return graph.vertices.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in columns))
     if not r.used:
         return direct.matches(graph, query, limit=limit, reduce=reduce)
-    out = pipeline(graph, r, views, relations, _order(r, views), False).select(*columns)
+    out = pipeline(graph, r, views, relations, _order(graph, r, views), False).select(*columns)
     return out.limit(min(limit, direct.MOST_ROWS)) if limit is not None else out
 
 
@@ -156,13 +157,13 @@ def answer(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: i
     return MatchResult(n, matches(graph, query, views, limit, reduce), late, seconds, {} if late or not seconds else {"embeddings_per_second": n / seconds})
 
 
-def explain(query: Pattern, views: Sequence[View]) -> dict:
+def explain(graph: PropertyGraph, query: Pattern, views: Sequence[View]) -> dict:
     """The rewriting: nodes in order, how each is reached, live columns, patch edges, views in use."""
     views = [v for v in views if v.status in (store.BUILT, store.NO_ANSWER)]
     r = rewrite(query, views)
     if r.empty:
         return {"empty": True, "views": r.used}
-    order = _order(r, views)
+    order = _order(graph, r, views)
     steps, matched = [], []
     for at, k in enumerate(order):
         node = r.nodes[k]

@@ -15,7 +15,7 @@ from ..operators.estimate import by_means
 from ..operators.match import oriented
 from ..operators.relations import Catalog, candidate_space, candidates, ecand, vcand
 from ..plans.partition import MOST_ROWS, PARTITIONERS, adjacent, merged, part_order, ports
-from ..scratch import stored, unstored
+from ..scratch import passing, stored, unstored
 from . import store
 from .store import View, q
 
@@ -111,7 +111,8 @@ def build(graph: PropertyGraph, pattern: Pattern, path: str, partitioner: str =
     """
     spark = graph.vertices.sparkSession
     if timeout is None:
-        return _build(graph, pattern, path, partitioner, most_rows, most_links, merge, parts)
+        with passing(spark):
+            return _build(graph, pattern, path, partitioner, most_rows, most_links, merge, parts)
     tag, late = f"quiltgraph-{uuid.uuid4().hex}", threading.Event()
 
     def stop():
@@ -122,7 +123,8 @@ def build(graph: PropertyGraph, pattern: Pattern, path: str, partitioner: str =
     spark.addTag(tag)
     timer.start()
     try:
-        return _build(graph, pattern, path, partitioner, most_rows, most_links, merge, parts, late)
+        with passing(spark):
+            return _build(graph, pattern, path, partitioner, most_rows, most_links, merge, parts, late)
     except Exception:
         if not late.is_set():
             raise

@@ -4,6 +4,7 @@ Insertions enumerate the whole matches of the view's pattern that use a new
 edge and project them onto the stored parts and key pairs.  Deletions take
 away what uses a deleted edge and restore completeness.  Answers over the view
 equal those over a rebuilt one; its tables may hold fewer rows than a rebuild.
+What was done since the view was built is counted in its stats.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..model import Pattern, PropertyGraph, column
 from ..operators.match import execute, plan
 from ..operators.relations import scan_all
 from ..plans.partition import MOST_ROWS
-from ..scratch import stored
+from ..scratch import passing, stored
 from . import store
 from .build import MOST_LINKS, SLACK, _build, complete, tables
 from .store import View, q
@@ -48,6 +49,11 @@ def insert(view: View, graph: PropertyGraph, delta: DataFrame) -> tuple[View, di
 
     An empty view is built anew, and so is one whose parts grow beyond all bounds.
     """
+    with passing(view.spark):
+        return _insert(view, graph, delta)
+
+
+def _insert(view: View, graph: PropertyGraph, delta: DataFrame) -> tuple[View, dict]:
     pattern, version = view.pattern, view.version + 1
     if view.status != store.BUILT:
         return _build(graph, pattern, view.path, "tree", MOST_ROWS, MOST_LINKS, False, None, None, version), {"rebuilt": True, "new_matches": None}
@@ -63,11 +69,16 @@ def insert(view: View, graph: PropertyGraph, delta: DataFrame) -> tuple[View, di
     pairs = {(i, j): view.pairs(i, j).unionByName(project([*view.ports(i, j), *view.ports(j, i)])).distinct() for (i, j), whole in view.linked.items() if whole}
     old = view.relations()
     relations = {(u, v): old[u, v].unionByName(new.select(column(u), column(v))).distinct() for u, v in pattern.edges}
-    return _next(view, version, rows, pairs, relations, counts), {"rebuilt": False, "new_matches": n}
+    return _next(view, version, rows, pairs, relations, counts, inserts=1, new_matches=n), {"rebuilt": False, "new_matches": n}
 
 
 def delete(view: View, delta: DataFrame) -> tuple[View, dict]:
     """The view without the edges delta(src, dst); needs no graph."""
+    with passing(view.spark):
+        return _delete(view, delta)
+
+
+def _delete(view: View, delta: DataFrame) -> tuple[View, dict]:
     if view.status != store.BUILT:
         return view, {"emptied": True}
     pattern, version = view.pattern, view.version + 1
@@ -88,9 +99,15 @@ def delete(view: View, delta: DataFrame) -> tuple[View, dict]:
     rows, pairs, counts = complete(pattern, view.parts, rows, pairs)
     if 0 in counts.values():
         return store.save(View(view.spark, view.path, pattern, [], [], [], store.NO_ANSWER, version)), {"emptied": True}
-    return _next(view, version, rows, pairs, relations, [counts[i] for i in range(len(view.parts))]), {"emptied": False}
+    counts = [counts[i] for i in range(len(view.parts))]
+    lost = sum(view.stats.get("rows", counts)) - sum(counts)
+    return _next(view, version, rows, pairs, relations, counts, deletes=1, lost_rows=lost), {"emptied": False, "lost_rows": lost}
 
 
-def _next(view: View, version: int, rows, pairs, relations, counts: list[int]) -> View:
+def _next(view: View, version: int, rows, pairs, relations, counts: list[int], **done: int) -> View:
+    """The next version on disk; what was done is added to what the versions before it count."""
+    total = dict(view.stats.get("maintenance", {}))
+    for name, n in done.items():
+        total[name] = total.get(name, 0) + n
     store.write_version(view.spark, view.path, version, tables(view.pattern, rows, pairs, relations))
-    return store.save(View(view.spark, view.path, view.pattern, view.parts, view.links, view.partial, store.BUILT, version, {"rows": counts}))
+    return store.save(View(view.spark, view.path, view.pattern, view.parts, view.links, view.partial, store.BUILT, version, {"rows": counts, "maintenance": total}))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +107,19 @@ def memory(view: View) -> dict[str, int]:
     out = {f"sn_{i}": view.rows(i).count() * 8 * len(part) for i, part in enumerate(view.parts)}
     out |= {f"se_{i}_{j}": view.pairs(i, j).count() * 8 * (len(view.ports(i, j)) + len(view.ports(j, i))) for (i, j), whole in view.linked.items() if whole}
     return out | {"ecand": view.table("ecand").count() * 16, "vcand": view.table("vcand").count() * 8}
+
+
+def link_report(view: View) -> DataFrame:
+    """For each stored link between parts i and j: its key pairs, the distinct keys on either side, and the most partners that one key has."""
+    found = []
+    for (i, j), whole in sorted(view.linked.items()):
+        if not whole:
+            continue
+        pairs, mine, theirs = view.pairs(i, j), [q(v) for v in view.ports(i, j)], [q(v) for v in view.ports(j, i)]
+        side = lambda keys, x: pairs.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("pairs"), F.count("*").alias(f"keys_{x}"), F.max("n").alias(f"most_{x}"))  # noqa: B023, E731
+        one, two = side(mine, "i"), side(theirs, "j").drop("pairs")
+        # both are one row
+        found.append(one.join(F.broadcast(two), F.lit(True)).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "pairs", "keys_i", "keys_j", "most_i", "most_j"))
+    if not found:
+        return view.spark.createDataFrame([], "i int, j int, pairs long, keys_i long, keys_j long, most_i long, most_j long")
+    return reduce(DataFrame.union, found)

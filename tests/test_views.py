@@ -4,7 +4,7 @@ import random
 import pytest
 from brute import matches, random_graph, random_pattern
 
-from quiltgraph import cli
+from quiltgraph import cli, scratch
 from quiltgraph.engine import Engine
 from quiltgraph.model import Pattern, PatternError
 from quiltgraph.operators import match
@@ -34,7 +34,7 @@ def test_cases_on_the_commerce_graph(spark, shop, tmp_path):
     assert ask(shop, p["p04"], [path]) == 1427  # a patch edge
     edge = view("edge", Pattern([commerce.O, commerce.P], [(0, 1)]))
     snc = view("snc", Pattern([commerce.S, commerce.N, commerce.C], [(0, 1), (1, 2)]))
-    assert ask(shop, p["p08"], [edge, snc]) == 6 and answer.explain(p["p08"], [edge, snc])["views"] == [0, 1]
+    assert ask(shop, p["p08"], [edge, snc]) == 6 and answer.explain(shop, p["p08"], [edge, snc])["views"] == [0, 1]
     empty = view("p12", p["p12"])
     assert empty.status == store.NO_ANSWER and ask(shop, p["p12"], [empty]) == 0
     unlinked = view("unlinked", p["p04"], parts=[[0, 1], [2]], most_links=1)
@@ -110,6 +110,54 @@ def test_stream_keeps_answers(spark, tmp_path):
     assert live.state() == before
 
 
+def test_stream_writes_the_graph_anew_now_and_then(spark, tmp_path):
+    labels, edges = list(enumerate("abab")), [(0, 1), (1, 2)]
+    live = LiveGraph(spark, f"{tmp_path}/live", f"{tmp_path}/views", most_deltas=2)
+    live.start(text.from_tuples(spark, labels, edges))
+    of = lambda *rows: spark.createDataFrame(rows, "op string, src long, dst long")
+    now, folders = set(edges), []
+    for n, (op, a, b) in enumerate([("+", 2, 3), ("-", 0, 1), ("+", 0, 3), ("+", 1, 0), ("-", 2, 3)]):
+        live.apply(of((op, a, b)), n)
+        e = (min(a, b), max(a, b))
+        now = now | {e} if op == "+" else now - {e}
+        assert {tuple(r) for r in text.to_tuples(live.graph())[1].collect()} == now
+        folders.append(sorted(x for x in scratch.children(spark, f"{tmp_path}/live") if x[0] in "gd"))
+    assert folders == [["d0", "g0"], ["d0", "d1", "g0"], ["g3"], ["d3", "g3"], ["d3", "d4", "g3"]]
+
+
+def test_a_write_that_is_lost_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    g = text.from_tuples(spark, list(enumerate("ab")), [(0, 1)])
+    view = build.build(g, Pattern("ab", [(0, 1)]), f"{tmp_path}/v")
+    scratch.write_text(spark, f"{tmp_path}/v/meta.json.0123", "{")  # what a lost writer leaves beside it
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_):
+        raise Lost
+
+    with monkeypatch.context() as m:
+        m.setattr(scratch, "_rename", lost)
+        with pytest.raises(Lost):
+            scratch.write_text(spark, f"{tmp_path}/v/meta.json", "{")
+    assert store.load(spark, view.path).rows(0).count() == 1
+    assert store.store_names(spark, str(tmp_path)) == ["v"]
+
+
+def test_counters_add_up(spark, tmp_path):
+    labels = list(enumerate("ababab"))
+    edges = [(0, 1), (2, 3)]
+    g = text.from_tuples(spark, labels, edges)
+    view = build.build(g, Pattern("ab", [(0, 1)]), f"{tmp_path}/v")
+    before = set(scratch.children(spark, scratch.folder(spark).rsplit("/", 1)[0]))
+    for more in ([(0, 3)], [(4, 5), (4, 1)]):
+        g = insert_edges(g, spark.createDataFrame(more, "src long, dst long"))
+        view, _ = maintain.insert(view, g, spark.createDataFrame(more, "src long, dst long"))
+    view, done = maintain.delete(store.load(spark, view.path), spark.createDataFrame([(4, 1), (4, 5)], "src long, dst long"))
+    assert view.stats["maintenance"] == {"inserts": 2, "new_matches": 3, "deletes": 1, "lost_rows": done["lost_rows"]}
+    assert set(scratch.children(spark, scratch.folder(spark).rsplit("/", 1)[0])) <= before  # nothing stays in the scratch folder
+
+
 def test_cli(spark, tmp_path, capsys):
     rng = random.Random(4)
     labels, edges = random_graph(rng, 9, 2, 0.5)
