@@ -35,12 +35,3 @@ def covers(nlf: Column, demands: dict[str, int]) -> Column:
 
 def intersection(arrays: list[Column]) -> Column:
     return reduce(F.array_intersect, arrays)
-
-
-def embedding_hash(columns: list[str]) -> Column:
-    return F.xxhash64(*columns)
-
-
-def key(columns: list[str]) -> Column:
-    """Several key columns as one struct."""
-    return F.struct(*columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import intersection
@@ -48,10 +48,17 @@ def extend(partial: DataFrame, relations: list[tuple[str, DataFrame]], new: str)
     return out
 
 
+def intersect_positions(one: Column, two: Column) -> Column:
+    """The values that two arrays of distinct values share, with their places (from 0) in both: an array of (value, first, second)."""
+    place = lambda array, x: (F.array_position(array, x) - 1).cast("int")
+    return F.transform(F.array_intersect(one, two), lambda x: F.struct(x.alias("value"), place(one, x).alias("first"), place(two, x).alias("second")))
+
+
 def extend_by_arrays(partial: DataFrame, relations: list[tuple[str, DataFrame]], new: str) -> DataFrame:
-    """The same from intersections of neighbour arrays: no intermediate row that a later relation would drop."""
+    """The same from intersections of neighbour arrays, block by block of ids: no intermediate row that a later relation would drop."""
     out = partial
     for i, (column, relation) in enumerate(relations):
-        out = out.join(adjacency(relation, column, new).withColumnRenamed("neighbours", f"_near{i}"), column)
+        near = adjacency(relation, column, new).withColumnRenamed("neighbours", f"_near{i}").withColumnRenamed("block", "_block")
+        out = out.join(near, [column, "_block"] if i else [column])
     near = [f"_near{i}" for i in range(len(relations))]
-    return out.withColumn(new, F.explode(intersection([F.col(c) for c in near]))).drop(*near)
+    return out.withColumn(new, F.explode(intersection([F.col(c) for c in near]))).drop(*near, "_block")

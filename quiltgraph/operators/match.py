@@ -15,7 +15,8 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_different, falling_factorial
@@ -81,8 +82,12 @@ def summed(partial: DataFrame, live: Sequence[int]) -> DataFrame:
     return partial.groupBy(*map(column, live)).agg(F.sum("mult").alias("mult"))
 
 
-def execute(pattern: Pattern, relations: Catalog, steps: Sequence[Step], start: DataFrame | None = None, strategy: str = "join", factorize: bool = True, injective: bool = True) -> DataFrame:
-    """u columns of the live vertices and, if factorized, mult.  The first step may be given as a table."""
+def execute(pattern: Pattern, relations: Catalog, steps: Sequence[Step], start: DataFrame | None = None, strategy: str = "join", factorize: bool = True, injective: bool = True, watch: dict[int, Observation] | None = None) -> DataFrame:
+    """u columns of the live vertices and, if factorized, mult.  The first step may be given as a table.
+
+    watch gets an observation for each vertex that is joined: the rows there are
+    then, counted by the job that computes them anyway.
+    """
     partial = None
     extend = {"join": joins.extend, "intersect": joins.extend_by_arrays}[strategy]
     bound: list[int] = []
@@ -113,6 +118,9 @@ def execute(pattern: Pattern, relations: Catalog, steps: Sequence[Step], start:
             partial = extend(partial, over, column(step.u))
             partial = partial.where(all_different((column(step.u), column(r)) for r in step.rivals))
             bound = [*bound, step.u]
+        if watch is not None:
+            watch[step.u] = Observation(f"u{step.u}-{uuid.uuid4().hex}")
+            partial = partial.observe(watch[step.u], F.count(F.lit(1)).alias("rows"))
         if factorize:
             partial, bound = _shrink(partial, bound, step.live)
     return partial
@@ -153,20 +161,28 @@ def prepared(graph: PropertyGraph, pattern: Pattern, injective: bool, reduce: st
     return relations
 
 
-def sizes_of(graph: PropertyGraph, pattern: Pattern) -> list[int]:
-    counts = graph.label_counts(pattern.labels)
-    return [counts[label] for label in pattern.labels]
+class Sizes(Sequence):
+    """The number of vertices of each pattern vertex's label, counted once something asks for it."""
+
+    def __init__(self, graph: PropertyGraph, pattern: Pattern):
+        self.graph, self.pattern, self.counts = graph, pattern, None
+
+    def __len__(self) -> int:
+        return len(self.pattern)
+
+    def __getitem__(self, u: int) -> int:
+        if self.counts is None:
+            self.counts = self.graph.label_counts(self.pattern.labels)
+        return self.counts[self.pattern.labels[u]]
 
 
 def chosen_order(graph: PropertyGraph, pattern: Pattern, order: str | Sequence[int] | None) -> list[int]:
-    """A given order, one of a named strategy, or without sizes to hand the one by dependency."""
+    """A given order, or one of a named strategy ("best": of all), by dependency if none is named; candidates break ties."""
     if order is not None and not isinstance(order, str):
         if not orders.valid(pattern, order):
             raise ValueError("every vertex but the first needs an earlier neighbour")
         return list(order)
-    if order == "best":
-        return orders.best(pattern, sizes_of(graph, pattern))
-    return orders.best(pattern, [0] * len(pattern), order or "ri")
+    return orders.best(pattern, Sizes(graph, pattern), None if order == "best" else order or "dependency")
 
 
 def single(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
@@ -185,14 +201,14 @@ def matches(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=
     return out.limit(min(limit, MOST_ROWS)) if limit is not None else out
 
 
-def count(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=None, strategy: str = "join", reduce: str = "none", limit: int | None = None) -> DataFrame:
+def count(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=None, strategy: str = "join", reduce: str = "none", limit: int | None = None, watch: dict[int, Observation] | None = None) -> DataFrame:
     """One row with n: the number of matches, or least(number, limit)."""
     injective = semantics == ISO
     if len(pattern) == 1:
         out = single(graph, pattern).agg(F.count("*").alias("mult"))
     else:
         steps = plan(pattern, chosen_order(graph, pattern, order), injective, True)
-        out = execute(pattern, prepared(graph, pattern, injective, reduce), steps, strategy=strategy, injective=injective)
+        out = execute(pattern, prepared(graph, pattern, injective, reduce), steps, strategy=strategy, injective=injective, watch=watch)
     return total(out, limit)
 
 
@@ -233,8 +249,28 @@ def timed(df: DataFrame, seconds: float | None) -> tuple[list, bool, float]:
 
 
 def match(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, limit: int | None = None, timeout: float | None = None, **options) -> MatchResult:
-    """Counts now; rows are there to be read lazily."""
-    rows, late, seconds = timed(count(graph, pattern, semantics, limit=limit, **options), timeout)
+    """Counts now; rows are there to be read lazily.  stats: embeddings a second, and the rows after each joined vertex."""
+    watch: dict[int, Observation] = {}
+    rows, late, seconds = timed(count(graph, pattern, semantics, limit=limit, watch=watch, **options), timeout)
     n = None if late else rows[0]["n"]
-    stats = {} if late or seconds <= 0 else {"embeddings_per_second": n / seconds}
+    stats = {} if late or seconds <= 0 else {"embeddings_per_second": n / seconds, "rows_after": {u: _observed(o) for u, o in watch.items()}}
     return MatchResult(n, matches(graph, pattern, semantics, limit=limit, **options), late, seconds, stats)
+
+
+def _observed(rows: Observation) -> int:
+    """A branch without rows may have been cut from the plan, and nothing was observed then."""
+    try:
+        return rows.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
+def valid_rows(graph: PropertyGraph, pattern: Pattern, rows: DataFrame, semantics: str = ISO) -> DataFrame:
+    """The rows u0 ... u{n-1} that are matches: every pattern edge is an edge between those labels, and no vertex comes twice."""
+    for u, v in pattern.edges:
+        rows = rows.join(scan(graph, pattern, u, v), [column(u), column(v)], "left_semi")
+    if len(pattern) == 1:
+        rows = rows.join(single(graph, pattern), column(0), "left_semi")
+    if semantics == ISO:
+        rows = rows.where(all_different((column(u), column(v)) for u in range(len(pattern)) for v in range(u) if pattern.same_label(u, v)))
+    return rows.select(*[column(u) for u in range(len(pattern))])

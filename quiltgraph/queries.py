@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import no_repeat
+from .functions.columns import covers, no_repeat
 from .model import Pattern, PropertyGraph, column
 from .operators import estimate, joins, match, relations, stats
 from .plans import sqlgen
@@ -112,10 +112,9 @@ def graph_nlf(g):
     return stats.nlf(g).select("id", F.explode("nlf").alias("neighbour_label", "n"))
 
 
-@query("SELECT src, CAST(count(*) AS BIGINT) AS n, min(dst) AS first, max(dst) AS last FROM e GROUP BY src")
+@query(f"SELECT src, CAST(dst // {1 << stats.BLOCK_BITS} AS BIGINT) AS block, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM e GROUP BY src, dst // {1 << stats.BLOCK_BITS}")
 def graph_adjacency(g):
-    near = F.col("neighbours")
-    return stats.adjacency(g.edges).select("src", F.size(near).cast("long").alias("n"), near[0].alias("first"), F.element_at(near, -1).alias("last"))
+    return stats.adjacency(g.edges).select("src", "block", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(
@@ -171,26 +170,41 @@ def graph_four_cliques(g):
     return stats.four_cliques(g.edges).agg(F.count("*").alias("n"))
 
 
-@query(None)
+def _peeled(rounds: int, first: str, step: str, last: str) -> str:
+    """Rounds of peeling written out; those after the last that changes something do no harm."""
+    tables = [first.format("c0")] + [step.format(old=f"c{i}", new=f"c{i + 1}") for i in range(rounds)]
+    return ", " + ", ".join(tables) + f" SELECT {last} FROM c{rounds}"
+
+
+_CORE = "{new} AS MATERIALIZED (SELECT src, dst FROM {old} WHERE src IN (SELECT src FROM {old} GROUP BY src HAVING count(*) >= 12) AND dst IN (SELECT src FROM {old} GROUP BY src HAVING count(*) >= 12))"
+
+
+@query(_peeled(12, "{} AS MATERIALIZED (SELECT src, dst FROM e)", _CORE, "src, dst"))
 def graph_k_core(g):
-    """The 12-core; peeling is iterative."""
+    """The 12-core."""
     return stats.k_core(g.edges, 12)
 
 
-@query(None)
+_TRUSS = (
+    "{new} AS MATERIALIZED (WITH good AS MATERIALIZED (SELECT src, dst FROM (SELECT a AS src, b AS dst FROM {old} UNION ALL SELECT b, c FROM {old} UNION ALL SELECT a, c FROM {old}) GROUP BY ALL HAVING count(*) >= 2) "
+    "SELECT a, b, c FROM {old} SEMI JOIN good x ON x.src = a AND x.dst = b SEMI JOIN good y ON y.src = b AND y.dst = c SEMI JOIN good z ON z.src = a AND z.dst = c)"
+)
+
+
+@query(_TRIANGLES.rstrip() + _peeled(24, "{} AS MATERIALIZED (SELECT a, b, c FROM tri)", _TRUSS, "DISTINCT unnest([a, b, a]) AS src, unnest([b, c, c]) AS dst"))
 def graph_k_truss(g):
-    """Edges that keep 20 triangles."""
-    return stats.k_truss(g.edges, 20)
+    """Edges that keep 2 triangles."""
+    return stats.k_truss(g.edges, 2)
 
 
 # filters, semi-joins, sets
 
-_OP = f"(SELECT src, dst FROM e WHERE src_label = '{O}' AND dst_label = '{P}')"
-_PS = f"(SELECT src, dst FROM e WHERE src_label = '{P}' AND dst_label = '{S}')"
-_OS = f"(SELECT src, dst FROM e WHERE src_label = '{O}' AND dst_label = '{S}')"
+_OP, _PS, _OS, _OC = "op", "ps", "os", "oc"
+#: Relations, materialized so that the planner knows their sizes.
+_RELATIONS = ", " + ", ".join(f"{name} AS MATERIALIZED (SELECT src, dst FROM e WHERE src_label = '{a}' AND dst_label = '{b}')" for name, a, b in ((_OP, O, P), (_PS, P, S), (_OS, O, S), (_OC, O, C))) + " "
 
 
-@query(f"SELECT src AS u0, dst AS u1 FROM {_OP} WHERE src IN (SELECT src FROM {_OS}) AND dst IN (SELECT src FROM {_PS})")
+@query(f"{_RELATIONS} SELECT src AS u0, dst AS u1 FROM {_OP} WHERE src IN (SELECT src FROM {_OS}) AND dst IN (SELECT src FROM {_PS})")
 def scan_candidates(g):
     """A relation between two candidate sets."""
     orders, parts = g.relation(O, S, "u0", "x").select("u0"), g.relation(P, S, "u1", "x").select("u1")
@@ -205,29 +219,38 @@ def nlf_candidates(g):
     return relations.candidates_by_neighbours(g, O, {P: 2, S: 1})
 
 
-@query(f"SELECT src AS u0, dst AS u1 FROM {_OP} WHERE src IN ({_DEMAND})")
+@query(f"{_RELATIONS} SELECT src AS u0, dst AS u1 FROM {_OP} WHERE src IN ({_DEMAND})")
 def nlf_filtered_relation(g):
     return relations.neighbour_filter(g, PATTERNS["p11"], relations.scan_all(g, PATTERNS["p11"]))[0, 1]
 
 
-@query(f"SELECT DISTINCT dst AS u1 FROM {_OP}")
+@query(f"{_RELATIONS} SELECT DISTINCT dst AS u1 FROM {_OP}")
 def project_candidates(g):
     return relations.project(relations.scan(g, PATTERNS["p04"], 0, 1), 1)
 
 
-@query(f"SELECT src AS u0, dst AS u1 FROM {_OP} WHERE dst IN (SELECT src FROM {_PS})")
+@query(f"{_RELATIONS} SELECT src AS u0, dst AS u1 FROM {_OP} WHERE dst IN (SELECT src FROM {_PS})")
 def semi_join(g):
     p = PATTERNS["p04"]
     return relations.semi_join(relations.scan(g, p, 0, 1), relations.scan(g, p, 1, 2), column(1))
 
 
-@query(f"SELECT src AS u0, dst AS u1 FROM {_OP} WHERE dst NOT IN (SELECT dst FROM {_OP} WHERE src IN (SELECT src FROM {_OS}))")
+@query(f"{_RELATIONS} SELECT src AS u0, dst AS u1 FROM {_OP} WHERE src NOT IN (SELECT src FROM {_OC})")
 def anti_join(g):
-    left, right = g.relation(O, P, "u0", "u1"), g.relation(O, S, "u0", "x")
-    return left.join(left.join(right, "u0", "left_semi").select("u1"), "u1", "left_anti").select("u0", "u1")
+    """Relation edges of orders whose customer isn't of that label."""
+    left, right = g.relation(O, P, "u0", "u1"), g.relation(O, C, "u0", "x")
+    return left.join(right, "u0", "left_anti").select("u0", "u1")
+
 
+@query(f"{_RELATIONS} SELECT CAST(count(DISTINCT src) AS BIGINT) AS keys, CAST((SELECT count(*) FROM {_OP} WHERE dst IN (SELECT src FROM {_PS})) AS BIGINT) AS rows FROM {_PS}")
+def semi_join_count(g, spark, sf_dir):
+    """How many keys the right side has, and the rows that stay."""
+    p = PATTERNS["p04"]
+    left, keys = relations.semi_join_count(relations.scan(g, p, 0, 1), relations.scan(g, p, 1, 2), column(1))
+    return left.agg(F.lit(keys).cast("long").alias("keys"), F.count("*").alias("rows"))
 
-@query(f"SELECT n.src AS u0, n.dst AS u1 FROM (SELECT src, dst FROM e WHERE src_label = '{N}' AND dst_label = '{S}') n WHERE n.dst IN (SELECT dst FROM {_PS})")
+
+@query(f"SELECT n.src AS u0, n.dst AS u1 FROM (SELECT src, dst FROM e WHERE src_label = '{N}' AND dst_label = '{S}') n WHERE n.dst IN (SELECT dst FROM e WHERE src_label = '{P}' AND dst_label = '{S}')")
 def full_reducer_path(g):
     p = PATTERNS["p02"]
     return relations.reduce_fully(p, relations.scan_all(g, p))[0, 1]
@@ -258,39 +281,94 @@ def candidate_cascade(g):
     return relations.ecand(relations.cascade(PATTERNS["p02"], relations.scan_all(g, PATTERNS["p02"])))
 
 
-@query(f"SELECT a.src AS u0, a.dst AS u1, b.dst AS u2 FROM {_OP} a JOIN {_PS} b ON b.src = a.dst")
-def hash_join_1key(g):
-    return joins.hash_join(g.relation(O, P, "u0", "u1"), g.relation(P, S, "u1", "u2"), ["u1"]).select("u0", "u1", "u2")
+_OPS = f"SELECT a.src AS u0, a.dst AS u1, b.dst AS u2 FROM {_OP} a JOIN {_PS} b ON b.src = a.dst"
 
 
-_OPS = f"SELECT a.src AS u0, a.dst AS u1, b.dst AS u2 FROM {_OP} a JOIN {_PS} b ON b.src = a.dst"
+@query(f"{_RELATIONS} {_OPS}")
+def hash_join_1key(g):
+    return joins.hash_join(g.relation(O, P, "u0", "u1"), g.relation(P, S, "u1", "u2"), ["u1"]).select("u0", "u1", "u2")
 
 
-@query(f"SELECT x.u0, x.u1, x.u2, c.dst AS u3 FROM ({_OPS}) x JOIN (SELECT o.src, o.dst AS sup, k.dst FROM {_OS} o JOIN (SELECT src, dst FROM e WHERE src_label = '{O}' AND dst_label = '{C}') k ON k.src = o.src) c ON c.src = x.u0 AND c.sup = x.u2")
+@query(f"{_RELATIONS}, x AS MATERIALIZED ({_OPS}), c AS MATERIALIZED (SELECT o.src, o.dst AS sup, k.dst FROM {_OS} o JOIN {_OC} k ON k.src = o.src) SELECT x.u0, x.u1, x.u2, c.dst AS u3 FROM x JOIN c ON c.src = x.u0 AND c.sup = x.u2")
 def hash_join_2key(g):
     left = joins.hash_join(g.relation(O, P, "u0", "u1"), g.relation(P, S, "u1", "u2"), ["u1"])
     right = joins.hash_join(g.relation(O, S, "u0", "u2"), g.relation(O, C, "u0", "u3"), ["u0"])
     return joins.hash_join(left, right, ["u0", "u2"]).select("u0", "u1", "u2", "u3")
 
 
-@query(f"SELECT x.src AS a, x.dst AS b, p.dst AS v FROM {_PS} x JOIN e p ON p.src = x.src JOIN e q ON q.src = x.dst AND q.dst = p.dst")
+@query(f"{_RELATIONS} SELECT x.src AS a, x.dst AS b, p.dst AS v FROM {_PS} x JOIN e p ON p.src = x.src JOIN e q ON q.src = x.dst AND q.dst = p.dst")
 def common_neighbours(g):
     return joins.common_neighbours(g.edges.select("src", "dst"), g.relation(P, S, "a", "b"))
 
 
-@query(f"SELECT src AS id FROM {_OP} INTERSECT SELECT src FROM {_OS}")
+@query(f"{_RELATIONS} SELECT src AS id FROM {_OP} INTERSECT SELECT src FROM {_OS}")
 def set_intersection(g):
     return joins.intersect_all([g.relation(O, P, "id", "x").select("id"), g.relation(O, S, "id", "x").select("id")])
 
 
-@query(f"SELECT src AS id FROM {_OP} UNION SELECT src FROM {_PS} ORDER BY id")
+@query(f"{_RELATIONS} SELECT src AS id FROM {_OP} UNION SELECT src FROM {_PS} ORDER BY id")
 def sorted_union(g):
     return joins.sorted_union([g.relation(O, P, "id", "x").select("id"), g.relation(P, S, "id", "x").select("id")], "id")
 
 
-@query(f"SELECT src AS id FROM {_PS} EXCEPT SELECT dst FROM {_OP}")
+@query(f"{_RELATIONS} SELECT src AS id FROM {_OP} EXCEPT SELECT src FROM {_OC}")
 def set_difference(g):
-    return joins.difference(g.relation(P, S, "id", "x").select("id"), g.relation(O, P, "x", "id").select("id")).distinct()
+    return joins.difference(g.relation(O, P, "id", "x").select("id"), g.relation(O, C, "id", "x").select("id")).distinct()
+
+
+@query(f"{_RELATIONS} SELECT EXISTS (SELECT 1 FROM {_OP} WHERE dst IN (SELECT src FROM {_PS})) AS parts_meet, EXISTS (SELECT 1 FROM {_OP} WHERE src IN (SELECT dst FROM {_PS})) AS others_meet")
+def sets_overlap(g, spark, sf_dir):
+    op, ps = g.relation(O, P), g.relation(P, S)
+    ids = lambda df, end: df.select(F.col(end).alias("id"))
+    return spark.createDataFrame([(joins.overlap(ids(op, "dst"), ids(ps, "src")), joins.overlap(ids(op, "src"), ids(ps, "dst")))], "parts_meet boolean, others_meet boolean")
+
+
+_PLACED = f"SELECT src, dst, CAST(dst // {1 << stats.BLOCK_BITS} AS BIGINT) AS block, CAST(row_number() OVER (PARTITION BY src, dst // {1 << stats.BLOCK_BITS} ORDER BY dst) - 1 AS INTEGER) AS place FROM e"
+
+
+@query(f"{_RELATIONS}, placed AS MATERIALIZED ({_PLACED}) SELECT x.src AS a, x.dst AS b, p.dst AS v, p.place AS first, q.place AS second FROM {_PS} x JOIN placed p ON p.src = x.src JOIN placed q ON q.src = x.dst AND q.dst = p.dst")
+def intersect_positions(g):
+    """Shared neighbours of linked parts and suppliers, with their places in both sorted arrays of a block."""
+    near = stats.adjacency(g.edges)
+    side = lambda end, name: near.select(F.col("src").alias(end), "block", F.col("neighbours").alias(name))
+    both = g.relation(P, S, "a", "b").join(side("a", "one"), "a").join(side("b", "two"), ["b", "block"])
+    return both.select("a", "b", F.explode(joins.intersect_positions(F.col("one"), F.col("two"))).alias("x")).select("a", "b", F.col("x.value").alias("v"), "x.first", "x.second")
+
+
+@query(f"SELECT src AS id FROM e GROUP BY src HAVING count(CASE WHEN dst_label = '{P}' THEN 1 END) >= 2 AND count(CASE WHEN dst_label = '{S}' THEN 1 END) >= 1")
+def nlf_predicate(g):
+    """The predicate on maps of neighbour labels, over vertices of any label."""
+    return stats.nlf(g).where(covers(F.col("nlf"), {P: 2, S: 1})).select("id")
+
+
+_ROUND = (
+    f", ns AS MATERIALIZED (SELECT src, dst FROM e WHERE src_label = '{N}' AND dst_label = '{S}'), sp AS MATERIALIZED (SELECT src, dst FROM e WHERE src_label = '{S}' AND dst_label = '{P}'), "
+    "n0 AS (SELECT DISTINCT src AS v FROM ns), s0 AS (SELECT DISTINCT dst AS v FROM ns WHERE src IN (SELECT v FROM n0) AND dst IN (SELECT src FROM sp)), "
+    "p0 AS (SELECT DISTINCT dst AS v FROM sp WHERE src IN (SELECT v FROM s0)) "
+)
+
+
+@query(f"{_ROUND} SELECT 0 AS qv, v FROM n0 UNION ALL SELECT 1, v FROM s0 UNION ALL SELECT 2, v FROM p0")
+def candidates_one_round(g):
+    """One round of pruning, from all vertices of each label: nations, then suppliers, then parts."""
+    p = PATTERNS["p02"]
+    start = {u: stats.vertices_by_label(g, label).select(F.col("id").alias(column(u))) for u, label in enumerate(p.labels)}
+    found = relations.eliminate(g, p, start, {0: 0, 1: 1, 2: 2})
+    return found[0].select(F.lit(0).alias("qv"), F.col("u0").alias("v")).union(found[1].select(F.lit(1), "u1")).union(found[2].select(F.lit(2), "u2"))
+
+
+@query(f"SELECT 0 AS qu, 1 AS qv, src AS du, dst AS dv FROM e WHERE src_label = '{N}' AND dst_label = '{S}' AND dst % 3 <> 0 UNION ALL SELECT 1, 2, src, dst FROM e WHERE src_label = '{S}' AND dst_label = '{P}' AND src % 3 <> 0")
+def candidate_space_union(g):
+    """Of two candidate spaces that overlap."""
+    p = PATTERNS["p02"]
+    space = relations.scan_all(g, p)
+    some = lambda keep: {e: df.where(F.pmod(F.col("u1"), F.lit(3)).isin(keep)) for e, df in space.items()}
+    return relations.ecand(relations.merge(some([1]), some([1, 2])))
+
+
+@query(" UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, CAST(count(*) AS BIGINT) AS n FROM e WHERE src_label = '{PATTERNS['p08'].labels[u]}' AND dst_label = '{PATTERNS['p08'].labels[v]}'" for u, v in PATTERNS["p08"].edges))
+def relation_report_p08(g):
+    return stats.relation_report(g, PATTERNS["p08"])
 
 
 @query(sqlgen.rows_sql(PATTERNS["p04"]))
@@ -340,6 +418,13 @@ def match_rows_p06(g):
     return match.matches(g, PATTERNS["p06"]).where(no_repeat(["u0", "u1", "u2", "u3"]))
 
 
+@query(sqlgen.rows_sql(PATTERNS["p04"]))
+def match_check_p04(g):
+    """Paths of three vertices, of which those stay that are matches."""
+    paths = joins.hash_join(g.relation(O, P, "u0", "u1"), g.relation(P, S, "u1", "u2"), ["u1"])
+    return match.valid_rows(g, PATTERNS["p04"], paths)
+
+
 @query(sqlgen.count_sql(PATTERNS["p09"], "homo"))
 def estimate_tree_p09(g):
     return estimate.estimate(g, PATTERNS["p09"])
@@ -381,24 +466,35 @@ _answered("view_answer_overlapping", "p08", [PATTERNS["p04"], PATTERNS["p05"]])
 _answered("view_answer_empty", "p12", [PATTERNS["p12"]])
 _answered("view_answer_unused", "p09", [PATTERNS["p04"]])
 
-_P04 = sqlgen.rows_sql(PATTERNS["p04"])
+_P04 = ", {}, m AS MATERIALIZED ({}) ".format(*sqlgen.rows_select(PATTERNS["p04"]))
 
 
-@query(f"SELECT DISTINCT u0 AS q0, u1 AS q1 FROM ({_P04})")
+@query(f"{_P04} SELECT DISTINCT u0 AS q0, u1 AS q1 FROM m")
 def view_supernode_p04(g, spark, sf_dir):
     return _view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]).rows(0).select("q0", "q1")
 
 
-@query(f"SELECT DISTINCT u0 AS q0, u1 AS q1, u2 AS q2 FROM ({_P04})")
+@query(f"{_P04} SELECT DISTINCT u0 AS q0, u1 AS q1, u2 AS q2 FROM m")
 def view_superedge_p04(g, spark, sf_dir):
     return _view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]).pairs(0, 1).select("q0", "q1", "q2")
 
 
-@query(None)
+@query(
+    f"{_P04} SELECT 'sn_0' AS name, CAST(16 * count(DISTINCT (u0, u1)) AS BIGINT) AS bytes FROM m UNION ALL SELECT 'sn_1', CAST(8 * count(DISTINCT u2) AS BIGINT) FROM m "
+    "UNION ALL SELECT 'se_0_1', CAST(24 * count(DISTINCT (u0, u1, u2)) AS BIGINT) FROM m"
+)
 def view_stats(g, spark, sf_dir):
-    """Bytes of each table of the view of p08."""
-    view = _view(_local(g, spark), spark, PATTERNS["p08"])
-    return spark.createDataFrame(sorted(store.memory(view).items()), "name string, bytes long")
+    """Bytes of the parts and links of the view of p04."""
+    held = store.memory(_view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
+    return spark.createDataFrame(sorted((n, b) for n, b in held.items() if n.startswith("s")), "name string, bytes long")
+
+
+@query(
+    f"{_P04} SELECT 0 AS i, 1 AS j, CAST(count(*) AS BIGINT) AS pairs, CAST(count(DISTINCT (u0, u1)) AS BIGINT) AS keys_i, CAST(count(DISTINCT u2) AS BIGINT) AS keys_j, "
+    "CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY u0, u1)) AS BIGINT) AS most_i, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY u2)) AS BIGINT) AS most_j FROM m"
+)
+def view_links_p04(g, spark, sf_dir):
+    return store.link_report(_view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
 
 
 def _without(condition: str) -> str:
@@ -430,7 +526,7 @@ def view_after_insert(g, spark, sf_dir):
 
 
 QUERIES["view_after_delete"] = lambda spark, sf_dir: _after_delete(spark, sf_dir)
-SQL["view_after_delete"] = f"WITH {_without(f'NOT ({_HELD})')} {sqlgen.count_sql(PATTERNS['p08'])}"
+SQL["view_after_delete"] = f"WITH {_without(f'NOT ({_HELD})')}{sqlgen.count_sql(PATTERNS['p08'])}"
 
 
 def _after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:

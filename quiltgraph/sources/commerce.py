@@ -79,7 +79,7 @@ half(src, dst) AS (
   UNION SELECT {ORDER * KIND} + l_orderkey, {PART * KIND} + l_partkey FROM lineitem
   UNION SELECT {ORDER * KIND} + l_orderkey, {SUPPLIER * KIND} + l_suppkey FROM lineitem
   UNION SELECT {PART * KIND} + l_partkey, {SUPPLIER * KIND} + l_suppkey FROM lineitem),
-e(src, dst, src_label, dst_label) AS (
+e(src, dst, src_label, dst_label) AS MATERIALIZED (
   SELECT h.src, h.dst, a.label, b.label FROM (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half) h
   JOIN v a ON a.id = h.src JOIN v b ON b.id = h.dst)"""
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Pattern, PropertyGraph
+from ..scratch import stored
 
 FIELD = re.compile(r"[^\s,;]+")
 
@@ -116,3 +117,28 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of a plain edge list; lines that start with # or % are comments."""
     f = spark.read.text(path).where(~F.col("value").rlike(r"^\s*([#%]|$)")).select(F.split(F.trim("value"), r"[\s,;]+").alias("f"))
     return f.selectExpr("cast(f[0] as bigint) as src", "cast(f[1] as bigint) as dst")
+
+
+def write_edge_list(edges: DataFrame, path: str) -> None:
+    """src and dst, a blank between them, in a folder of text files."""
+    edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+
+
+def renumbered(graph: PropertyGraph, by: str = "degree") -> tuple[PropertyGraph, DataFrame]:
+    """The graph with ids 0 to n - 1, by rising degree or by label, then by the old id; and the table old, id.
+
+    Ids are dealt in ranges of the order: each range is numbered by itself,
+    from the number of vertices in the ranges before it.
+    """
+    degree = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    keys = {"degree": ["degree", "id"], "label": ["label", "id"]}[by]
+    rows = graph.vertices.join(degree, "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+    placed = stored(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.broadcast(sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    table = stored(placed.withColumn("own", own).join(ahead, "range").select(F.col("id").alias("old"), (F.col("ahead") + F.col("own") - 1).alias("id"), "label"))
+    end = lambda x: table.select(F.col("old").alias(x), F.col("id").alias(f"new_{x}"))
+    edges = graph.edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "src_label", "dst_label")
+    return PropertyGraph(table.select("id", "label"), edges), table.select("old", "id")

@@ -117,3 +117,66 @@ def test_graph_analytics(spark):
     assert stats.k_core(g.edges, 3).count() == 20 and stats.k_truss(g.edges, 3).count() == 10
     assert stats.k_core(g.edges, 9).count() == 0
     assert stats.max_degree(g).first()[0] == 5
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_core_and_truss_against_plain_peeling(spark, k):
+    rng = random.Random(40 + k)
+    edges = {(a, b) for b in range(14) for a in range(b) if rng.random() < 0.4}
+    g = text.from_tuples(spark, [(i, "x") for i in range(14)], sorted(edges))
+
+    def peeled(rest, weak):
+        while gone := {e for e in rest if weak(e, rest)}:
+            rest = rest - gone
+        return rest
+
+    degree = lambda v, rest: sum(v in e for e in rest)
+    near = lambda v, rest: {a + b - v for a, b in rest if v in (a, b)}
+    core = peeled(edges, lambda e, rest: min(degree(e[0], rest), degree(e[1], rest)) < k + 2)
+    assert {tuple(r) for r in stats.k_core(g.edges, k + 2).where("src < dst").collect()} == core
+    truss = peeled(edges, lambda e, rest: len(near(e[0], rest) & near(e[1], rest)) < k)
+    assert {tuple(r) for r in stats.k_truss(g.edges, k).collect()} == truss
+
+
+def test_rows_after_each_step_and_checked_rows(spark):
+    rng = random.Random(6)
+    labels, edges = random_graph(rng, 10, 2, 0.5)
+    g = text.from_tuples(spark, list(enumerate(labels)), edges)
+    p = Pattern("aba", [(0, 1), (1, 2)])
+    want = matches(labels, edges, p)
+    result = match.match(g, p, order=[0, 1, 2])
+    assert result.count == len(want) and set(result.stats["rows_after"]) <= {0, 1, 2}
+    every = spark.createDataFrame([(a, b, c) for a in range(10) for b in range(10) for c in range(10)], "u0 long, u1 long, u2 long")
+    assert {tuple(r) for r in match.valid_rows(g, p, every).collect()} == want
+    assert {tuple(r) for r in match.valid_rows(g, p, every, "homo").collect()} == matches(labels, edges, p, False)
+    assert match.match(g, Pattern("aza", [(0, 1), (1, 2)])).count == 0  # nothing is left to observe
+
+
+def test_ties_are_broken_by_candidates(spark):
+    g = text.from_tuples(spark, list(enumerate("aaaab")), [(0, 4), (1, 4), (2, 4), (3, 4)])
+    assert match.chosen_order(g, Pattern("ab", [(0, 1)]), None) == [1, 0]
+    path = Pattern("aba", [(0, 1), (1, 2)])
+    sizes = match.Sizes(g, path)
+    assert match.orders._least(range(3), lambda v: -len(path.neighbours[v]), sizes) == 1 and sizes.counts is None  # no tie, nothing counted
+
+
+def test_hubs_are_held_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_BITS", 1)
+    rng = random.Random(8)
+    labels, edges = random_graph(rng, 12, 2, 0.6)
+    g = text.from_tuples(spark, list(enumerate(labels)), edges)
+    assert max(len(r["neighbours"]) for r in stats.adjacency(g.edges).collect()) <= 2
+    p = Pattern("aba", [(0, 1), (1, 2), (0, 2)])
+    assert {tuple(r) for r in match.matches(g, p, strategy="intersect").collect()} == matches(labels, edges, p)
+
+
+def test_renumbered(spark, tmp_path):
+    labels, edges = list(zip((50, 7, 30, 9), "baab")), [(50, 7), (7, 30), (7, 9)]
+    g = text.from_tuples(spark, labels, edges)
+    for by, order in (("degree", [9, 30, 50, 7]), ("label", [7, 30, 9, 50])):
+        new, table = text.renumbered(g, by)
+        place = {r["old"]: r["id"] for r in table.collect()}
+        assert place == {v: i for i, v in enumerate(order)}
+        assert {tuple(r) for r in new.edges.collect()} == {(place[r["src"]], place[r["dst"]], r["src_label"], r["dst_label"]) for r in g.edges.collect()}
+    text.write_edge_list(new.edges, f"{tmp_path}/el")
+    assert sorted(map(tuple, text.read_edge_list(spark, f"{tmp_path}/el").collect())) == sorted((r["src"], r["dst"]) for r in new.edges.collect())
