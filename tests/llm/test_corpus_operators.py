@@ -6,9 +6,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import zstandard
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quiltgraph.llm import jaccard, lines, links, mixing, nearest, quality
+from quiltgraph.llm import jaccard, lines, links, mixing, nearest, quality, queries
 from quiltgraph.llm.common import remainder
 
 SF = "/root/testdata/sf0.001"
@@ -213,6 +215,26 @@ def test_nearest_of_odd_tables(spark):
     assert nearest.nearest(df.where("false")).collect() == []
 
 
+def plain_nearest(rows, k, every):
+    """(query, rank, id, product) over distinct vectors of the query's length; a repeated query id asks with its least one."""
+    rows = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = set()
+    for q in {i for i, _ in rows if i % every == 0}:
+        asked = min((len(v), v) for i, v in rows if i == q)[1]
+        found = sorted((-float(np.dot(asked, v)), i) for i, v in rows if i != q and len(v) == len(asked))[:k]
+        out |= {(q, rank + 1, i, -minus) for rank, (minus, i) in enumerate(found)}
+    return out
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    rng = random.Random(9)
+    rows = [(i % 60, [float(rng.randint(-3, 3)) for _ in range(4 if i % 7 else 3)]) for i in range(150)]
+    rows += [(20, [1.0, 2.0, 3.0, 4.0]), (20, [1.0, 2.0, 3.0, 4.0]), (40, [5.0]), (7, [2.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, query_id string, rank int")
+    got = [tuple(r) for r in nearest.nearest(df, k=5).collect()]
+    assert sorted(got) == sorted(plain_nearest(rows, 5, 20))
+
+
 def test_chi_square():
     assert nearest.chi_square_quantile(2, 0.95) == pytest.approx(5.991, abs=1e-3) and nearest.chi_square_quantile(12, 0.95) == pytest.approx(21.026, abs=1e-3)
 
@@ -301,13 +323,36 @@ def test_mix_of_odd_tables(odd_docs, no_docs):
 # pipeline
 
 
+def plain_repeated(rows):
+    """How often each (doc_id, text) is taken, by a plain queue; rows are (doc_id, text, source, place)."""
+    sized = [(n, len((t or "").encode().split()), s, place) for n, (_, t, s, place) in enumerate(rows)]
+    taken = plain_copies(sized)
+    out = Counter()
+    for n, (i, t, _, _) in enumerate(rows):
+        out[i, t] += taken[n]
+    return +out
+
+
 def test_stages_against_plain_versions(spark):
+    from pyspark.sql import functions as F
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     good = corpus_pipeline.good_quality(spark, docs, SF).collect()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.fit(quality.sampled(docs, labels, "quality", remainder("doc_id", 5) != 0))
-    assert {r["doc_id"] for r in good} == {r["doc_id"] for r in quality.score(docs, model).collect() if r["score"] >= 0.3}
+    # the size difference of every text, piece by piece, with the dictionaries alone
+    compress = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress for d in (model.good, model.bad)]
+
+    def plain_score(text):
+        raw = (text or "").encode()
+        good, bad = (sum(len(c(raw[at : at + quality.PIECE])) for at in range(0, len(raw), quality.PIECE)) for c in compress)
+        return 1 / (1 + np.exp(-(model.slope * (bad - good) / (len(raw) + quality.SHRINK) + model.offset)))
+
+    assert {r["doc_id"] for r in good} == {i for i, r in rows.items() if plain_score(r["text"]) >= corpus_pipeline.LEAST_SCORE}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in rows}
+    kept = {r["doc_id"] for r in good}
+    assert np.mean([i in kept for i, y in known.items() if y == 1]) > 0.97
     lean = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
     gone = plain_removals([(i, r["text"]) for i, r in rows.items()])
     for i, r in rows.items():
@@ -315,9 +360,47 @@ def test_stages_against_plain_versions(spark):
         assert (i in lean) == (i not in gone or bool(text.split())) and (i not in lean or (lean[i]["text"], lean[i]["n_chars"]) == (text, len(text)))
     classes = plain_classes([(i, r["text"]) for i, r in rows.items()], jaccard.Measure())
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {c for _, c in classes.values()}
+    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("p")).collect()}
+    want = plain_repeated([(i, r["text"], r["source"], place[i]) for i, r in rows.items()])
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixture(spark, docs, SF).collect()) == want
+    library = Tokenizer.from_file(queries.word_bpe())
+    library.no_truncation()
+    library.no_padding()
+    for r in corpus_pipeline.token_ids(spark, docs, SF).collect():
+        ids = library.encode(rows[r["doc_id"]]["text"], add_special_tokens=False).ids
+        assert (r["source"], r["n_tokens"], r["ids"]) == (rows[r["doc_id"]]["source"], len(ids), ids)
     assert [f(spark, docs, SF).columns for _, f in corpus_pipeline.STAGES[:-1]] == [list(corpus_pipeline.COLUMNS)] * 4
 
 
+def test_stages_of_odd_tables(spark, odd_docs):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns whose names clash."""
+    from pyspark.sql import functions as F
+
+    odd = odd_docs.union(odd_docs.where("doc_id is null")).union(odd_docs.where("doc_id = 6").selectExpr("doc_id + 10", "text", "lang", "source", "n_chars", "kinds", "score", "ids", "size"))
+    rows = sorted(odd.collect(), key=repr)
+    ids = lambda df: sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in df.collect())
+    # the classifier looks at the text only: equal texts go or stay together, null and empty ones too
+    kept = corpus_pipeline.good_quality(spark, odd, SF)
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and set(ids(kept)) <= {-1, *range(1, 9), 16}
+    counts = Counter(ids(kept))
+    assert (counts[4], counts[5], counts[-1]) in ((1, 2, 2), (0, 0, 0)) and counts[6] == counts[16] and counts[1] == counts[2]
+    # of equal lines the first stays, null ids come last; what never had words stays
+    lean = corpus_pipeline.line_dedup(spark, odd, SF)
+    assert ids(lean) == [1, 2, 3, 4, 6, 7, 8] and all((r["text"] or "") == next(x["text"] or "" for x in rows if x["doc_id"] == r["doc_id"]) for r in lean.collect())
+    # one of each group, of repeated ids one row, and all without an id
+    one = corpus_pipeline.near_duplicates(spark, odd, SF)
+    assert ids(one) == [-1, -1, 1, 2, 3, 4, 6, 7, 8]
+    # the mix takes what a plain queue takes, null sources as one of their own
+    place = [r["p"] for r in odd.select("doc_id", "text", "source", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("p"), *[c for c in odd.columns[3:] if c != "source"]).collect()]
+    plain = [(r["doc_id"], r["text"], r["source"], p) for r, p in zip(odd.collect(), place)]
+    mixed = corpus_pipeline.mixture(spark, odd, SF)
+    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == plain_repeated(plain) and mixed.columns == list(corpus_pipeline.COLUMNS)
+    # every row is encoded
+    encoded = corpus_pipeline.token_ids(spark, odd, SF)
+    assert ids(encoded) == ids(odd) and encoded.columns == ["doc_id", "source", "n_tokens", "ids"]
+    assert all(r["n_tokens"] == len(r["ids"]) and (r["n_tokens"] > 0) == (r["doc_id"] not in (1, 2, 3)) for r in encoded.collect())
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and out.count() > 100
