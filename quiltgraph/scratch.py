@@ -53,13 +53,28 @@ def passing(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+#: Spark's setting that shuffle files go when the query ends that made them, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder: cuts lineage and survives lost executors."""
+    """df, written once to the shared folder: cuts lineage and survives lost executors.
+
+    The shuffle files that led to it go at once.
+    """
     spark = df.sparkSession
     path = folder(spark)
     if getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
