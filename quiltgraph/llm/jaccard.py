@@ -39,6 +39,8 @@ SEEN = 500_000
 SKETCH = 4
 #: Most cells of a partition and differences it may hold, and the signatures of a set for each of k + 2, but at least FEW.
 CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
+#: Shares in which signatures are counted one after another, which bounds what is shuffled at once.
+SLICES = 2
 #: Nodes of a group that meet in their turn in the first round, how this grows from round to round, and nodes that a task holds against them.
 TURN, GROWTH, PART = 2, 8, 4096
 
@@ -145,11 +147,14 @@ def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
 def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
     """signature, node, part, most and lead, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
     own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
-    # a partial sum meets hot signatures before the shuffle
-    count = own.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
-    several = stored(count.where("n > 1").select("signature"))
-    held = bit_filter(several)
-    dropped(several)
+    several = []
+    for part in range(SLICES):
+        # a partial sum meets hot signatures before the shuffle
+        count = own.select(F.explode(F.filter("signatures", lambda s: F.pmod(s, F.lit(SLICES)) == part)).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))  # noqa: B023
+        several.append(stored(count.where("n > 1").select("signature")))
+    held = bit_filter(reduce(DataFrame.union, several))
+    for table in several:
+        dropped(table)
 
     def make():
         bits = held.value
@@ -294,15 +299,16 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
+    rows = stored(first.select("doc_id", "n_shingles", "node", "sketch"))
     found = stored(groups_of(first, measure))
+    dropped(first)
     groups = stored(turns(found))
-    nodes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    sketches = first.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
+    dropped(found)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    sketches = rows.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
     members = stored(groups.join(known.drop("doc_id"), "node"))
-    rows = stored(first.select("doc_id", "n_shingles", "node"))
-    for table in (found, groups, first):
-        dropped(table)
+    dropped(groups)
     sets = stored(sets_of(docs, measure, known.select("node", "doc_id")))
     joined = linked(members, sets, measure)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
