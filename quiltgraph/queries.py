@@ -451,7 +451,7 @@ def _view(g: PropertyGraph, spark: SparkSession, pattern: Pattern, **options) ->
 
 def _answered(name: str, query_name: str, patterns: list[Pattern]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = _local(commerce.graph(spark, sf_dir), spark)
+        g = commerce.graph(spark, sf_dir)
         return answer.count(g, PATTERNS[query_name], [_view(g, spark, p) for p in patterns])
 
     QUERIES[name] = run
@@ -471,12 +471,12 @@ _P04 = ", {}, m AS MATERIALIZED ({}) ".format(*sqlgen.rows_select(PATTERNS["p04"
 
 @query(f"{_P04} SELECT DISTINCT u0 AS q0, u1 AS q1 FROM m")
 def view_supernode_p04(g, spark, sf_dir):
-    return _view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]).rows(0).select("q0", "q1")
+    return _view(g, spark, PATTERNS["p04"], parts=[[0, 1], [2]]).rows(0).select("q0", "q1")
 
 
 @query(f"{_P04} SELECT DISTINCT u0 AS q0, u1 AS q1, u2 AS q2 FROM m")
 def view_superedge_p04(g, spark, sf_dir):
-    return _view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]).pairs(0, 1).select("q0", "q1", "q2")
+    return _view(g, spark, PATTERNS["p04"], parts=[[0, 1], [2]]).pairs(0, 1).select("q0", "q1", "q2")
 
 
 @query(
@@ -485,7 +485,7 @@ def view_superedge_p04(g, spark, sf_dir):
 )
 def view_stats(g, spark, sf_dir):
     """Bytes of the parts and links of the view of p04."""
-    held = store.memory(_view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
+    held = store.memory(_view(g, spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
     return spark.createDataFrame(sorted((n, b) for n, b in held.items() if n.startswith("s")), "name string, bytes long")
 
 
@@ -494,7 +494,7 @@ def view_stats(g, spark, sf_dir):
     "CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY u0, u1)) AS BIGINT) AS most_i, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY u2)) AS BIGINT) AS most_j FROM m"
 )
 def view_links_p04(g, spark, sf_dir):
-    return store.link_report(_view(_local(g, spark), spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
+    return store.link_report(_view(g, spark, PATTERNS["p04"], parts=[[0, 1], [2]]))
 
 
 def _without(condition: str) -> str:
