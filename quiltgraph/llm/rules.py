@@ -55,11 +55,14 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", id: str = "d
     return [round(UNIT * (math.log(t) - math.log(r) + shift)) for t, r in zip(target, raw)]
 
 
-def score(docs: DataFrame, ratio: list[int], text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, ratio: list[int], text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD, spare: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     llr is the mean log ratio of the text's grams, 0 without any.  A null text
-    counts as empty and fails; other columns are ignored.
+    counts as empty and fails; very long texts are counted whole; repeated rows
+    and null ids are kept; other columns are ignored.  ``spare`` gives up that
+    many more bits of a window's hash in the fast way of finding equal ones;
+    the result is the same.
     """
     table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<int>")
     first = _words(docs, id, text).withColumn("ratio", table)
@@ -75,16 +78,24 @@ def score(docs: DataFrame, ratio: list[int], text: str = "text", id: str = "doc_
         f"if(n_words = 0, 0D, aggregate(sequence(0, cast(n_words as int) - 1), 0L, (s, i) -> s + ratio[cast(pmod(h[i], {BUCKETS}) as int)]) / cast({UNIT} as double)) as words_sum",
         f"if(n_words < 2, 0D, aggregate(sequence(0, cast(n_words as int) - 2), 0L, (s, i) -> s + ratio[cast(pmod(xxhash64(h[i], h[i + 1]), {BUCKETS}) as int)]) / cast({UNIT} as double)) as pairs_sum",
     )
-    # a window's place is packed below the high bits of its hash, so that sorting numbers brings equal windows together
+    # a window's place is packed below the high bits of its hash, so that sorting numbers brings equal windows together;
+    # where unequal ones agree in the high bits, they are sorted by the whole hash
     packed = "sort_array(transform(w3, (x, i) -> shiftleft(x, bits) | cast(i as bigint)))"
     alike = lambda a, b: f"(shiftrightunsigned({a}, bits) = shiftrightunsigned({b}, bits) and w3[cast({a} & low as int)] = w3[cast({b} & low as int)])"
-    placed = windows.selectExpr("*", "length(bin(n_words)) as bits", "shiftleft(1L, length(bin(n_words))) - 1 as low").selectExpr(
+    width = f"least(62, length(bin(n_words)) + {int(spare)})"
+    placed = windows.selectExpr("*", f"{width} as bits", f"shiftleft(1L, {width}) - 1 as low").selectExpr(
         "*", f"if(size(array_distinct(w3)) = size(w3), cast(array() as array<bigint>), {packed}) as sorted"
     )
+    clash = "exists(sequence(1, size(sorted) - 1), k -> shiftrightunsigned(sorted[k], bits) = shiftrightunsigned(sorted[k - 1], bits) and w3[cast(sorted[k] & low as int)] <> w3[cast(sorted[k - 1] & low as int)])"
+    placed = placed.selectExpr(
+        "*", f"if(size(sorted) > 1 and {clash}, sort_array(transform(w3, (x, i) -> struct(x as h, cast(i as bigint) as i))), cast(array() as array<struct<h: bigint, i: bigint>>)) as whole"
+    )
     found = placed.selectExpr(
         "*",
-        "if(size(sorted) = 0, sorted, sort_array(transform(filter(sequence(0, size(sorted) - 1), "
-        f"k -> (k > 0 and {alike('sorted[k]', 'sorted[k - 1]')}) or (k < size(sorted) - 1 and {alike('sorted[k]', 'sorted[k + 1]')})), k -> sorted[k] & low))) as starts",
+        "case when size(whole) > 0 then sort_array(transform(filter(sequence(0, size(whole) - 1), "
+        "k -> (k > 0 and whole[k].h = whole[k - 1].h) or (k < size(whole) - 1 and whole[k].h = whole[k + 1].h)), k -> whole[k].i)) "
+        "when size(sorted) = 0 then sorted else sort_array(transform(filter(sequence(0, size(sorted) - 1), "
+        f"k -> (k > 0 and {alike('sorted[k]', 'sorted[k - 1]')}) or (k < size(sorted) - 1 and {alike('sorted[k]', 'sorted[k + 1]')})), k -> sorted[k] & low)) end as starts",
     )
     counted = found.selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "words_sum", "pairs_sum",
