@@ -271,6 +271,36 @@ def test_rules_against_plain_counts(spark, documents, odd_docs, no_docs):
     assert rules.score(no_docs, ratio).collect() == []
 
 
+def test_windows_are_told_apart_whatever_bits_are_left(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(rng.choice([3, 8, 40]))}" for _ in range(rng.randrange(200)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for spare in (0, 50, 54, 62):
+        got = {r["doc_id"]: r["n_repeat_words"] for r in rules.score(df, [0] * rules.BUCKETS, spare=spare).collect()}
+        assert got == {i: plain_rules(t)[4] for i, t in rows}
+
+
+def test_ratios_against_a_plain_count(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(90)))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = {i for i in range(60) if i % 3 == 0}
+    ratio = rules.ratios(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
+    grams = {i: [(w,) for w in (t or "").split()] + list(zip((t or "").split(), (t or "").split()[1:])) for i, t in rows}
+    names = sorted({g for gs in grams.values() for g in gs})
+    table = spark.createDataFrame([(n, *(*g, None)[:2]) for n, g in enumerate(names)], "n int, a string, b string")
+    hashed = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    bucket = {names[r["n"]]: r["k"] for r in table.select("n", F.pmod(hashed, F.lit(rules.BUCKETS)).alias("k")).collect()}
+    raw, target = Counter(bucket[g] for gs in grams.values() for g in gs), Counter(bucket[g] for i in trusted for g in grams[i])
+    share = lambda counts, k: (counts[k] + 1) / (sum(counts.values()) + rules.BUCKETS)
+    assert all(abs(ratio[k] - rules.UNIT * np.log(share(target, k) / share(raw, k))) <= 0.51 for k in range(rules.BUCKETS))
+    for r in rules.score(df, ratio).collect():
+        gs = grams[r["doc_id"]]
+        assert r["llr"] == pytest.approx(sum(ratio[bucket[g]] for g in gs) / rules.UNIT / max(1, len(gs)))
+
+
 def test_verdict_on_held_out_rows_by_language(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
