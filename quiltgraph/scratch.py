@@ -80,8 +80,8 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def unstored(df: DataFrame) -> None:
-    """Deletes what stored() wrote."""
+def unstored(df: DataFrame | None) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
         remove(df.sparkSession, path)
