@@ -179,23 +179,25 @@ def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
     return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean").dropDuplicates(["signature", "node"])
 
 
-def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
-    """node and its shingles, of the nodes in wanted(node, doc_id), where a task meets them first.
+def texts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """node and text of the nodes in known(node, doc_id), by one document of each; where ids are repeated, maybe other texts as well."""
+    hashed = known.select("node", F.xxhash64("doc_id").alias("hash"))
+    return docs.select(F.xxhash64("doc_id").alias("hash"), "text").join(hashed, "hash").select("node", "text")
 
-    A filter over one document of each node spares other texts the hashing;
-    the join settles what it lets through.
-    """
-    held = bit_filter(wanted.select(F.xxhash64("doc_id").alias("hash")))
+
+def sets_of(texts: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
+    """node and its shingles, of the nodes in wanted(node), where a task meets them first; texts(node, text) of other nodes aren't hashed."""
+    held = bit_filter(wanted.select("node"))
 
     def make():
         bits, seen = held.value, set()
 
         def step(c):
             nodes, sets = [], []
-            for at in np.flatnonzero(passes(bits, np.array(c["hash"], np.int64))):
+            for at in np.flatnonzero(passes(bits, np.array(c["node"], np.int64))):
                 s = shingles(word_hashes(lowered(c["text"][at])), measure.width)
                 node = int(signed(node_of(s))[0]) if len(s) else None
-                if node is not None and node not in seen:
+                if node == c["node"][at] and node not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
@@ -205,16 +207,20 @@ def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
 
         return step
 
-    found = arrow_map(docs.withColumn("hash", F.xxhash64("doc_id")).select("text", "hash"), make, "node long, shingles array<long>")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return arrow_map(texts, make, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """The rows of pairs(a, b) whose sets reach the similarity, decided on the whole sets."""
+def similar(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Stored: the rows of pairs(a, b) whose sets reach the similarity, decided on the whole sets."""
+    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = stored(sets_of(texts, measure, asked))
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("first")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("second"))
     both = pairs.join(left, "a").join(right, "b")
     shared = both.select("a", "b", (F.size("first") + F.size("second")).alias("all"), F.size(F.array_intersect("first", "second")).alias("shared"))
-    return shared.where(F.col("shared") * 100 >= (F.col("all") - F.col("shared")) * measure.percent).select("a", "b")
+    out = stored(shared.where(F.col("shared") * 100 >= (F.col("all") - F.col("shared")) * measure.percent).select("a", "b"))
+    for table in (asked, sets):
+        dropped(table)
+    return out
 
 
 def plausible(measure: Measure) -> Column:
@@ -252,8 +258,8 @@ def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFr
     return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
 
 
-def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """node and component of every node in a verified link, over members(signature, lead, turn, parts, node, part, most, n, s0, ...).
+def linked(groups: DataFrame, known: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """node and component of every node in a verified link, over groups(signature, node, part, most, lead, turn, parts) and known(node, n, s0, ...).
 
     Two nodes of a group meet in the round of the one whose turn is earlier, so
     every pair that the sketches allow is decided, but for those that are in
@@ -262,30 +268,33 @@ def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """
     links = joined = None
     for lead in (True, False):
-        rest, low, high = members.where(F.col("lead") == lead), 0.0, float(TURN)
-        own: list[DataFrame] = []
+        rest, low, high = groups.where(F.col("lead") == lead), 0.0, float(TURN)
+        own = None
         while True:
             named = rest.withColumn("component", F.col("node")) if joined is None else rest.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
             named = stored(named)
             open_ = named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("turn").alias("last"))
             open_ = stored(open_.where((F.col("x") != F.col("y")) & (F.col("last") >= low)).select("signature"))
             if open_.isEmpty():
-                for table in (named, open_, *own):
+                for table in (named, open_, own):
                     dropped(table)
                 break
-            here = stored(named.join(open_, "signature", "left_semi"))
+            here = named.join(open_, "signature", "left_semi")
+            # sketches are needed in open groups only
+            here = stored(here if own is not None else here.join(known, "node"))
+            for table in (named, open_, own):
+                dropped(table)
             pairs = stored(formed(here, low, high, measure))
-            found = stored(similar(pairs, sets, measure))
-            if not found.isEmpty():
+            if not pairs.isEmpty():
+                found = similar(pairs, texts, measure)
                 links, old = found if links is None else stored(found.union(links)), links
                 was, joined = joined, components(links)
-                dropped(old)
-                dropped(was)
-            for table in (named, open_, pairs, *own):
-                dropped(table)
-            rest, own = here.drop("component"), [here]
+                for table in (old, was, found if old is not None else None):
+                    dropped(table)
+            dropped(pairs)
+            rest, own = here.drop("component"), here
             low, high = high, high * GROWTH
-    return joined if joined is not None else members.select("node", F.col("node").alias("component")).where("false")
+    return joined if joined is not None else known.select("node", F.col("node").alias("component")).where("false")
 
 
 def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,14 +316,12 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     sketches = rows.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
-    members = stored(groups.join(known.drop("doc_id"), "node"))
-    dropped(groups)
-    sets = stored(sets_of(docs, measure, known.select("node", "doc_id")))
-    joined = linked(members, sets, measure)
+    texts = stored(texts_of(docs, known.select("node", "doc_id")))
+    joined = linked(groups, known.drop("doc_id"), texts, measure)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     whole = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
     names = stored(whole.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (members, known, sets, joined):
+    for table in (groups, known, texts, joined):
         dropped(table)
     return whole.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 
