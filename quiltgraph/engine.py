@@ -52,7 +52,7 @@ class Engine:
         if views:
             return answer.explain(graph, pattern, views)
         order = direct.chosen_order(graph, pattern, self.order)
-        steps = direct.plan(pattern, order, self.semantics == direct.ISO, True)
+        steps = direct.planned(graph, pattern, self.order, self.semantics == direct.ISO, True)
         return {"order": order, "steps": [vars(s) for s in steps], "best": best(pattern, direct.Sizes(graph, pattern))}
 
     def materialize(self, graph: PropertyGraph, pattern: Pattern, path: str, partitioner: str = "tree", timeout: float | None = None, **options) -> View:

@@ -103,6 +103,8 @@ class PropertyGraph:
     edges: DataFrame
     #: Where edges is a union whose branches each have labels of known beginnings: (src, dst, branch).
     branches: tuple[tuple[str, str, DataFrame], ...] = ()
+    #: For each branch a table with about as many rows, whose count is cheap.
+    sources: tuple[DataFrame, ...] = ()
 
     def relation(self, a: str, b: str, ca: str = "src", cb: str = "dst") -> DataFrame:
         """Edges from label a to label b; the filter reaches the scan, or picks its partitions."""
@@ -126,6 +128,27 @@ class PropertyGraph:
         rows = self.edges.where(wanted).groupBy("src_label", "dst_label").count().collect()
         return dict.fromkeys(pairs, 0) | {(r["src_label"], r["dst_label"]): r["count"] for r in rows}
 
+    def statistics(self, pairs: Iterable[tuple[str, str]]) -> tuple[dict[str, int], dict[tuple[str, str], float]]:
+        """Vertices of each label that occurs, and edges of each label pair: counted, or where branches have sources, estimated.
+
+        The estimate is a source's rows times the shares that the labels have of the branch's vertices.
+        """
+        pairs = sorted(set(pairs))
+        labels = sorted({x for p in pairs for x in p})
+        if not self.sources:
+            return self.label_counts(labels), self.pair_counts(pairs)
+        fitting = {(a, b): [(x, y, t) for (x, y, _), t in zip(self.branches, self.sources) if a.startswith(x) and b.startswith(y)] for a, b in pairs}
+        kinds = sorted({k for found in fitting.values() for x, y, _ in found for k in (x, y)})
+        held, distinct = F.col("label"), list({id(t): t for found in fitting.values() for *_, t in found}.values())
+        counted = [F.count(F.when(held == l, 1)) for l in labels] + [F.count(F.when(held.startswith(k), 1)) for k in kinds]
+        # all of it in one job
+        jobs = [self.vertices.agg(F.array(*counted).alias("n"))] + [t.agg(F.array(F.count("*")).alias("n")) for t in distinct]
+        found = {r["i"]: r["n"] for r in reduce(DataFrame.union, [df.select(F.lit(i).alias("i"), "n") for i, df in enumerate(jobs)]).collect()}
+        alone, whole = dict(zip(labels, found[0])), dict(zip(kinds, found[0][len(labels) :]))
+        rows = {id(t): found[i + 1][0] for i, t in enumerate(distinct)}
+        share = lambda label, kind: alone[label] / max(1, whole[kind])
+        return alone, {(a, b): sum(rows[id(t)] * share(a, x) * share(b, y) for x, y, t in found) for (a, b), found in fitting.items()}
+
     @classmethod
     def undirected(cls, vertices: DataFrame, edges: DataFrame) -> PropertyGraph:
         """From vertices(id, label) and edges(src, dst) that hold each edge in any direction, any number of times.

@@ -12,7 +12,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -53,13 +53,16 @@ def needed(pattern: Pattern, done: Sequence[int], injective: bool) -> tuple[int,
     return tuple(u for u in done if any(pattern.has(u, w) or (injective and pattern.same_label(u, w)) for w in rest))
 
 
-def plan(pattern: Pattern, order: Sequence[int], injective: bool, factorize: bool) -> list[Step]:
+def plan(pattern: Pattern, order: Sequence[int], injective: bool, factorize: bool, fans: Mapping[tuple[int, int], float] | None = None) -> list[Step]:
+    """Steps in vertex order; with fans, a vertex is joined over the earlier neighbour that has the fewest such neighbours."""
     groups = {v: g for g in equivalence_classes(pattern) for v in g} if factorize else {}
     steps, done = [], []
     for u in order:
         if u in done:
             continue
         parents = tuple(v for v in done if pattern.has(u, v))
+        if fans:
+            parents = tuple(sorted(parents, key=lambda p: (fans[p, u], p)))  # noqa: B023
         rivals = tuple(v for v in done if injective and pattern.same_label(u, v))
         group = groups.get(u, [u])
         rest = [v for v in range(len(pattern)) if v not in done and v not in group]
@@ -177,12 +180,33 @@ class Sizes(Sequence):
 
 
 def chosen_order(graph: PropertyGraph, pattern: Pattern, order: str | Sequence[int] | None) -> list[int]:
-    """A given order, or one of a named strategy ("best": of all), by dependency if none is named; candidates break ties."""
+    """A given order, or one of a named strategy ("best": of all but cost), whose ties candidates break; by cost if none is named."""
+    return _chosen(graph, pattern, order)[0]
+
+
+def _chosen(graph: PropertyGraph, pattern: Pattern, order: str | Sequence[int] | None) -> tuple[list[int], Mapping[tuple[int, int], float] | None]:
+    """The order, and the fans it was chosen by.
+
+    Labels of few vertices have many neighbours each, so the order by cost
+    weighs relations; two vertices need no statistics.
+    """
     if order is not None and not isinstance(order, str):
         if not orders.valid(pattern, order):
             raise ValueError("every vertex but the first needs an earlier neighbour")
-        return list(order)
-    return orders.best(pattern, Sizes(graph, pattern), None if order == "best" else order or "dependency")
+        return list(order), None
+    if order not in (None, "cost"):
+        return orders.best(pattern, Sizes(graph, pattern), None if order == "best" else order), None
+    if len(pattern) == 2:
+        return [0, 1], None
+    pair = lambda e: (pattern.labels[e[0]], pattern.labels[e[1]])
+    vertices, counts = graph.statistics(map(pair, pattern.edges))
+    sizes, edges = [vertices[label] for label in pattern.labels], {e: counts[pair(e)] for e in pattern.edges}
+    return orders.together(pattern, orders.cost(pattern, sizes, edges)), orders.fans(sizes, edges)
+
+
+def planned(graph: PropertyGraph, pattern: Pattern, order: str | Sequence[int] | None, injective: bool, factorize: bool) -> list[Step]:
+    chosen, fans = _chosen(graph, pattern, order)
+    return plan(pattern, chosen, injective, factorize, fans)
 
 
 def single(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
@@ -195,7 +219,7 @@ def matches(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=
     if len(pattern) == 1:
         out = single(graph, pattern)
     else:
-        steps = plan(pattern, chosen_order(graph, pattern, order), injective, False)
+        steps = planned(graph, pattern, order, injective, False)
         out = execute(pattern, prepared(graph, pattern, injective, reduce), steps, strategy=strategy, factorize=False, injective=injective)
     out = out.select(*[column(u) for u in range(len(pattern))])
     return out.limit(min(limit, MOST_ROWS)) if limit is not None else out
@@ -207,7 +231,7 @@ def count(graph: PropertyGraph, pattern: Pattern, semantics: str = ISO, order=No
     if len(pattern) == 1:
         out = single(graph, pattern).agg(F.count("*").alias("mult"))
     else:
-        steps = plan(pattern, chosen_order(graph, pattern, order), injective, True)
+        steps = planned(graph, pattern, order, injective, True)
         out = execute(pattern, prepared(graph, pattern, injective, reduce), steps, strategy=strategy, injective=injective, watch=watch)
     return total(out, limit)
 

@@ -402,7 +402,7 @@ _counted("match_homomorphism_p10", sqlgen.star_sql(C, O, 3, "homo"), semantics="
 _counted("match_limit", sqlgen.count_sql(PATTERNS["p02"], limit=1000), pattern="p02", limit=1000)
 _counted("match_reduced_p08", sqlgen.count_sql(PATTERNS["p08"]), reduce="full")
 _counted("match_neighbour_filter_p11", sqlgen.count_sql(PATTERNS["p11"]), reduce="neighbours")
-for _order in ("dependency", "ri", "degree", "ports", "nucleus", "best"):
+for _order in ("cost", "dependency", "ri", "degree", "ports", "nucleus", "best"):
     _counted(f"match_order_{_order}_p08", sqlgen.count_sql(PATTERNS["p08"]), pattern="p08", order=_order)
 _counted("match_intersect_p05", sqlgen.count_sql(PATTERNS["p05"]), strategy="intersect")
 

@@ -60,7 +60,8 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     forward = [*once, *several]
     back = [e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_label").alias("src_label"), F.col("src_label").alias("dst_label")) for e in forward]
     branches = [(x, y, e) for (x, y), e in zip(kinds, forward)] + [(y, x, e) for (x, y), e in zip(kinds, back)]
-    return PropertyGraph(union(vertices), union([*forward, *back]), tuple(branches))
+    sources = (t("nation"), customers, t("supplier"), orders, lines, lines, lines)
+    return PropertyGraph(union(vertices), union([*forward, *back]), tuple(branches), (*sources, *sources))
 
 
 #: The same graph as common table expressions v(id, label) and e(src, dst).

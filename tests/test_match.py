@@ -154,12 +154,25 @@ def test_rows_after_each_step_and_checked_rows(spark):
 
 def test_ties_are_broken_by_candidates(spark):
     g = text.from_tuples(spark, list(enumerate("aaaab")), [(0, 4), (1, 4), (2, 4), (3, 4)])
-    assert match.chosen_order(g, Pattern("ab", [(0, 1)]), None) == [1, 0]
+    assert match.chosen_order(g, Pattern("ab", [(0, 1)]), "dependency") == [1, 0]
     path = Pattern("aba", [(0, 1), (1, 2)])
     sizes = match.Sizes(g, path)
     assert match.orders._least(range(3), lambda v: -len(path.neighbours[v]), sizes) == 1 and sizes.counts is None  # no tie, nothing counted
 
 
+def test_order_by_cost_starts_at_the_smallest_relation(spark):
+    labels = "h" + "a" * 6 + "b" * 3
+    g = text.from_tuples(spark, list(enumerate(labels)), [*((0, v) for v in range(1, 10)), (1, 7), (2, 8)])
+    p = Pattern("hab", [(0, 1), (0, 2), (1, 2)])
+    assert g.statistics([("h", "a"), ("a", "b"), ("h", "b")]) == ({"h": 1, "a": 6, "b": 3}, {("h", "a"): 6, ("a", "b"): 2, ("h", "b"): 3})
+    assert match.chosen_order(g, p, None) == [2, 1, 0] and match.count(g, p).first()["n"] == 2
+    shop = commerce.graph(spark, "/root/testdata/sf0.001")
+    pairs = [(commerce.O, commerce.P), (commerce.N, commerce.C), (commerce.N, commerce.R)]
+    vertices, edges = shop.statistics(pairs)
+    assert vertices == shop.label_counts({x for p in pairs for x in p})
+    assert all(0.5 < edges[p] / n < 2 for p, n in shop.pair_counts(pairs).items())
+
+
 def test_hubs_are_held_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(stats, "BLOCK_BITS", 1)
     rng = random.Random(8)
