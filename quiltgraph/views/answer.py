@@ -162,11 +162,11 @@ def explain(graph: PropertyGraph, query: Pattern, views: Sequence[View]) -> dict
     views = [v for v in views if v.status in (store.BUILT, store.NO_ANSWER)]
     r = rewrite(query, views)
     if r.empty:
-        return {"empty": True, "views": r.used}
+        return {"empty": True, "views": r.used, "unsure": r.unsure}
     order = _order(graph, r, views)
     steps, matched = [], []
     for at, k in enumerate(order):
         node = r.nodes[k]
         matched += node.vertices
         steps.append({"vertices": node.vertices, "view": node.view, "method": "start" if not at else method(r, k, order[:at]), "live": list(direct.needed(query, matched, True)), "patches": node.patches})
-    return {"empty": False, "views": r.used, "steps": steps, "links": [{"covered": x.covered, "patches": x.patches} for x in r.links], "edges": r.edges}
+    return {"empty": False, "views": r.used, "unsure": r.unsure, "steps": steps, "links": [{"covered": x.covered, "patches": x.patches} for x in r.links], "edges": r.edges}

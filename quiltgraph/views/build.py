@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -152,8 +153,12 @@ def _build(graph, pattern, path, partitioner, most_rows, most_links, merge, part
     if 0 in edges.values():
         return store.save(View(spark, path, pattern, [], [], [], store.NO_ANSWER, version))
     estimate = by_means(pattern, vertices, edges)
+    notes: list[str] = []
     if parts is None:
-        parts = PARTITIONERS[partitioner](pattern, estimate, most_rows)
+        with warnings.catch_warnings(record=True) as found:
+            warnings.simplefilter("always")
+            parts = PARTITIONERS[partitioner](pattern, estimate, most_rows)
+        notes = [str(w.message) for w in found]
         if merge:
             parts = merged(pattern, parts, estimate, most_rows)
     rows: dict[int, DataFrame] = {}
@@ -175,7 +180,7 @@ def _build(graph, pattern, path, partitioner, most_rows, most_links, merge, part
     rows, pairs, counts = complete(pattern, parts, rows, pairs)
     if 0 in counts.values():
         return store.save(View(spark, path, pattern, [], [], [], store.NO_ANSWER, version))
-    view = View(spark, path, pattern, parts, links, partial, store.BUILT, version, {"rows": [counts[i] for i in range(len(parts))]})
+    view = View(spark, path, pattern, parts, links, partial, store.BUILT, version, {"rows": [counts[i] for i in range(len(parts))], "notes": notes})
     store.write_version(spark, path, version, tables(pattern, rows, pairs, relations))
     return store.save(view)
 

@@ -49,6 +49,25 @@ def test_equivalence_and_embeddings():
     assert patterns.equivalence_classes(star) == [[1, 2, 3]]
     assert len(list(patterns.embeddings(Pattern("abb", [(0, 1), (0, 2)]), star))) == 6
     assert patterns.first_embedding(K4, KITE) is None
+    with pytest.raises(patterns.SearchEnded):
+        patterns.first_embedding(Pattern("abb", [(0, 1), (0, 2)]), star, most_states=1)
+
+
+def test_searches_that_end_early_say_so(monkeypatch):
+    from types import SimpleNamespace
+
+    from quiltgraph.plans import rewrite
+
+    ring = Pattern("a" * 8, [(i, (i + 1) % 8) for i in range(8)])
+    with pytest.warns(UserWarning, match="ended after 5 tries"):
+        partition._search(ring, list(range(8)), len, 5)
+
+    def ended(*_):
+        raise patterns.SearchEnded
+
+    monkeypatch.setattr(rewrite, "first_embedding", ended)
+    r = rewrite.rewrite(ring, [SimpleNamespace(pattern=K4, parts=[[0, 1, 2, 3]], linked={})])
+    assert r.unsure == [0] and r.used == []
     assert patterns.falling(4, 2) == 12 and patterns.falling(1, 2) == 0
 
 
