@@ -43,6 +43,8 @@ CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
 SLICES = 2
 #: Nodes of a group that meet in their turn in the first round, how this grows from round to round, and nodes that a task holds against them.
 TURN, GROWTH, PART = 2, 8, 4096
+#: How the pairs of a node that are decided at once grow from wave to wave.
+WAVE = 4
 
 
 def shape(k: int) -> tuple[int, int, int]:
@@ -258,6 +260,35 @@ def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFr
     return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
 
 
+def settled(pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None, texts: DataFrame, measure: Measure) -> tuple[DataFrame | None, DataFrame | None]:
+    """links and their components after the stored pairs(a, b), which are dropped.
+
+    A node's pairs are decided in waves, one at first, then WAVE times as many,
+    and those whose ends have met by then aren't decided any more: whole sets
+    travel about once a node, not once a pair.
+    """
+    first, most = Window.partitionBy("b").orderBy(F.xxhash64("a"), "a"), 1
+    while not pairs.isEmpty():
+        ranked = pairs.withColumn("nth", F.row_number().over(first))
+        now = stored(ranked.where(F.col("nth") <= most).select("a", "b"))
+        found = similar(now, texts, measure)
+        if not found.isEmpty():
+            links, old = found if links is None else stored(found.union(links)), links
+            was, joined = joined, components(links)
+            for table in (old, was, found if old is not None else None):
+                dropped(table)
+        rest = pairs.join(now, ["a", "b"], "left_anti")
+        if joined is not None:
+            of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))  # noqa: B023, E731
+            rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+        rest = stored(rest)
+        dropped(now)
+        dropped(pairs)
+        pairs, most = rest, most * WAVE
+    dropped(pairs)
+    return links, joined
+
+
 def linked(groups: DataFrame, known: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """node and component of every node in a verified link, over groups(signature, node, part, most, lead, turn, parts) and known(node, n, s0, ...).
 
@@ -284,14 +315,7 @@ def linked(groups: DataFrame, known: DataFrame, texts: DataFrame, measure: Measu
             here = stored(here if own is not None else here.join(known, "node"))
             for table in (named, open_, own):
                 dropped(table)
-            pairs = stored(formed(here, low, high, measure))
-            if not pairs.isEmpty():
-                found = similar(pairs, texts, measure)
-                links, old = found if links is None else stored(found.union(links)), links
-                was, joined = joined, components(links)
-                for table in (old, was, found if old is not None else None):
-                    dropped(table)
-            dropped(pairs)
+            links, joined = settled(stored(formed(here, low, high, measure)), links, joined, texts, measure)
             rest, own = here.drop("component"), here
             low, high = high, high * GROWTH
     return joined if joined is not None else known.select("node", F.col("node").alias("component")).where("false")
