@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .model import MatchResult, Pattern, PropertyGraph
 from .operators import match as direct
 from .operators.estimate import estimate
-from .plans.order import best
+from .plans.order import STRATEGIES, best
 from .sources import commerce, layout, text
 from .views import answer, build, maintain, store
 from .views.store import View
@@ -45,7 +45,7 @@ class Engine:
         semantics = semantics or self.semantics
         limit, timeout = limit if limit is not None else self.limit, timeout if timeout is not None else self.timeout
         if views and semantics == direct.ISO:
-            return answer.answer(graph, pattern, views, limit, timeout, self.reduce)
+            return answer.answer(graph, pattern, views, limit, timeout, self.reduce, self.order if self.order in STRATEGIES else None)
         return direct.match(graph, pattern, semantics, limit, timeout, order=self.order, strategy=self.strategy, reduce=self.reduce)
 
     def explain(self, graph: PropertyGraph, pattern: Pattern, views: Sequence[View] = ()) -> dict:

@@ -122,13 +122,13 @@ def prepared(graph: PropertyGraph, query: Pattern, views: Sequence[View], reduce
     return r, relations
 
 
-def _order(graph: PropertyGraph, r: Rewriting, views: Sequence[View]) -> list[int]:
-    """By the rows of parts and the numbers of vertices with a label."""
+def _order(graph: PropertyGraph, r: Rewriting, views: Sequence[View], strategy: str | None) -> list[int]:
+    """By a strategy for vertices or by edges; the rows of parts and the numbers of vertices with a label break ties."""
     alone = direct.Sizes(graph, r.query)
-    return node_order(r, [float(alone[n.vertices[0]]) if n.view is None else float(views[n.view].stats.get("rows", {n.part: 0})[n.part]) for n in r.nodes])
+    return node_order(r, [float(alone[n.vertices[0]]) if n.view is None else float(views[n.view].stats.get("rows", {n.part: 0})[n.part]) for n in r.nodes], strategy)
 
 
-def count(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none") -> DataFrame:
+def count(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none", order: str | None = None) -> DataFrame:
     """One row with n, the same as without views."""
     views = [v for v in views if v.status in (store.BUILT, store.NO_ANSWER)]
     r, relations = prepared(graph, query, views, reduce)
@@ -136,10 +136,10 @@ def count(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: in
         return graph.vertices.sparkSession.createDataFrame([(0,)], "n long")
     if not r.used:
         return direct.count(graph, query, limit=limit, reduce=reduce)
-    return direct.total(pipeline(graph, r, views, relations, _order(graph, r, views), True), limit)
+    return direct.total(pipeline(graph, r, views, relations, _order(graph, r, views, order), True), limit)
 
 
-def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none") -> DataFrame:
+def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, reduce: str = "none", order: str | None = None) -> DataFrame:
     views = [v for v in views if v.status in (store.BUILT, store.NO_ANSWER)]
     r, relations = prepared(graph, query, views, reduce)
     columns = [column(u) for u in range(len(query))]
@@ -147,26 +147,26 @@ def matches(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit:
         return graph.vertices.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in columns))
     if not r.used:
         return direct.matches(graph, query, limit=limit, reduce=reduce)
-    out = pipeline(graph, r, views, relations, _order(graph, r, views), False).select(*columns)
+    out = pipeline(graph, r, views, relations, _order(graph, r, views, order), False).select(*columns)
     return out.limit(min(limit, direct.MOST_ROWS)) if limit is not None else out
 
 
-def answer(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, timeout: float | None = None, reduce: str = "none") -> MatchResult:
-    rows, late, seconds = direct.timed(count(graph, query, views, limit, reduce), timeout)
+def answer(graph: PropertyGraph, query: Pattern, views: Sequence[View], limit: int | None = None, timeout: float | None = None, reduce: str = "none", order: str | None = None) -> MatchResult:
+    rows, late, seconds = direct.timed(count(graph, query, views, limit, reduce, order), timeout)
     n = None if late else rows[0]["n"]
-    return MatchResult(n, matches(graph, query, views, limit, reduce), late, seconds, {} if late or not seconds else {"embeddings_per_second": n / seconds})
+    return MatchResult(n, matches(graph, query, views, limit, reduce, order), late, seconds, {} if late or not seconds else {"embeddings_per_second": n / seconds})
 
 
-def explain(graph: PropertyGraph, query: Pattern, views: Sequence[View]) -> dict:
+def explain(graph: PropertyGraph, query: Pattern, views: Sequence[View], order: str | None = None) -> dict:
     """The rewriting: nodes in order, how each is reached, live columns, patch edges, views in use."""
     views = [v for v in views if v.status in (store.BUILT, store.NO_ANSWER)]
     r = rewrite(query, views)
     if r.empty:
         return {"empty": True, "views": r.used, "unsure": r.unsure}
-    order = _order(graph, r, views)
+    nodes = _order(graph, r, views, order)
     steps, matched = [], []
-    for at, k in enumerate(order):
+    for at, k in enumerate(nodes):
         node = r.nodes[k]
         matched += node.vertices
-        steps.append({"vertices": node.vertices, "view": node.view, "method": "start" if not at else method(r, k, order[:at]), "live": list(direct.needed(query, matched, True)), "patches": node.patches})
+        steps.append({"vertices": node.vertices, "view": node.view, "method": "start" if not at else method(r, k, nodes[:at]), "live": list(direct.needed(query, matched, True)), "patches": node.patches})
     return {"empty": False, "views": r.used, "unsure": r.unsure, "steps": steps, "links": [{"covered": x.covered, "patches": x.patches} for x in r.links], "edges": r.edges}

@@ -53,6 +53,10 @@ def test_equivalence_and_embeddings():
         patterns.first_embedding(Pattern("abb", [(0, 1), (0, 2)]), star, most_states=1)
 
 
+def test_outline_of_nuclei():
+    assert patterns.outline(patterns.density_tree(KITE.neighbours)) == "k=1 density=0.50 [0, 1, 2, 3, 4]\n  k=2 density=1.00 [0, 1, 2]\n"
+
+
 def test_searches_that_end_early_say_so(monkeypatch):
     from types import SimpleNamespace
 

@@ -35,6 +35,8 @@ def test_cases_on_the_commerce_graph(spark, shop, tmp_path):
     edge = view("edge", Pattern([commerce.O, commerce.P], [(0, 1)]))
     snc = view("snc", Pattern([commerce.S, commerce.N, commerce.C], [(0, 1), (1, 2)]))
     assert ask(shop, p["p08"], [edge, snc]) == 6 and answer.explain(shop, p["p08"], [edge, snc])["views"] == [0, 1]
+    for name in ("dependency", "ri", "degree", "ports", "nucleus"):
+        assert answer.count(shop, p["p08"], [edge, snc], order=name).first()["n"] == 6
     empty = view("p12", p["p12"])
     assert empty.status == store.NO_ANSWER and ask(shop, p["p12"], [empty]) == 0
     unlinked = view("unlinked", p["p04"], parts=[[0, 1], [2]], most_links=1)
