@@ -152,6 +152,17 @@ def test_rows_after_each_step_and_checked_rows(spark):
     assert match.match(g, Pattern("aza", [(0, 1), (1, 2)])).count == 0  # nothing is left to observe
 
 
+def test_ordered_choices(spark):
+    from math import perm
+
+    from pyspark.sql import functions as F
+
+    from quiltgraph.functions.columns import falling_factorial
+
+    rows = spark.range(8).select("id", *[falling_factorial(F.col("id"), k).alias(f"k{k}") for k in (1, 2, 3)]).collect()
+    assert all(r[f"k{k}"] == perm(r["id"], k) for r in rows for k in (1, 2, 3))
+
+
 def test_ties_are_broken_by_candidates(spark):
     g = text.from_tuples(spark, list(enumerate("aaaab")), [(0, 4), (1, 4), (2, 4), (3, 4)])
     assert match.chosen_order(g, Pattern("ab", [(0, 1)]), "dependency") == [1, 0]
