@@ -14,9 +14,9 @@ signature, take turns by a hash: in every round those whose turn has come are
 held against the ones that come later, unless both are in one component
 already.  The first partition's signatures go first, so that sets that share
 many are mostly joined by one.  Before a pair is formed, parity sketches must
-allow it, of the signature's partition and of the whole sets: of their bits no
-more can differ than elements do.  Pairs that are formed are decided on the
-whole sets.
+allow it, of the signature's partition, of the whole sets and of all
+partitions: of their bits no more can differ than elements do.  Pairs that are
+formed are decided on the whole sets.
 """
 
 from __future__ import annotations
@@ -120,34 +120,36 @@ def sketch_of(shingled: np.ndarray) -> np.ndarray:
 
 
 def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles, node and, where a task meets the node first, signatures and sketches; node is null for an empty set."""
+    """doc_id, n_shingles, node and, where a task meets the node first, signatures, sketches, bands and their numbers of partitions; node is null for an empty set."""
 
     def make():
         seen: set[int] = set()
 
         def step(c):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for t in c["text"]:
                 s = shingles(word_hashes(lowered(t)), measure.width)
                 node = int(signed(node_of(s))[0]) if len(s) else None
-                cells = parts = sketch = None
+                cells = parts = sketch = bands = widths = None
                 if node is not None and node not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
                     cells, parts = measure.signatures(s)
                     cells, sketch = signed(cells), sketch_of(s)
-                for o, v in zip(out, (len(s), node, cells, parts, sketch)):
+                    layout = measure.layout(len(s))
+                    bands, widths = [x[0] for x in layout], [x[1] for x in layout]
+                for o, v in zip(out, (len(s), node, cells, parts, sketch, bands, widths)):
                     o.append(v)
             return list(out)
 
         return step
 
-    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, parts array<long>, sketch array<long>", ("doc_id",))
+    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, parts array<long>, sketch array<long>, bands array<int>, widths array<int>", ("doc_id",))
 
 
 def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
-    """signature, node, part, most and lead, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
+    """signature, node, part, most, lead and band, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
     own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
     several = []
     for part in range(SLICES):
@@ -162,23 +164,23 @@ def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
         bits = held.value
 
         def step(c):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for node, size, names, parts in zip(c["node"], c["n_shingles"], c["signatures"], c["parts"]):
                 names = np.array(names, np.int64)
                 hit = passes(bits, names)
                 if not hit.any():
                     continue
-                layout = [(n1, comb(n2, k2), k2) for _, n1, n2, k2 in measure.layout(size)]
-                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, each) for n1, each, _ in layout]))
-                most = np.concatenate([np.full(n1 * each, k2, np.int32) for n1, each, k2 in layout])
-                lead = np.concatenate([np.arange(n1 * each) < each for n1, each, _ in layout])
-                for o, v in zip(out, (names[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit], lead[hit])):
+                layout = [(n1, comb(n2, k2), k2, number) for number, n1, n2, k2 in measure.layout(size)]
+                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, each) for n1, each, *_ in layout]))
+                most, band = (np.concatenate([np.full(x[0] * x[1], x[i], np.int32) for x in layout]) for i in (2, 3))
+                lead = np.concatenate([np.arange(n1 * each) < each for n1, each, *_ in layout])
+                for o, v in zip(out, (names[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit], lead[hit], band[hit])):
                     o.append(v)
             return [np.concatenate(o) for o in out] if out[0] else None
 
         return step
 
-    return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean").dropDuplicates(["signature", "node"])
+    return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean, band int").dropDuplicates(["signature", "node"])
 
 
 def texts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -246,18 +248,31 @@ def turns(groups: DataFrame) -> DataFrame:
     return out.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).drop("size")
 
 
-def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFrame:
+def layers_of(marks: DataFrame) -> DataFrame:
+    """node, band, n and bits: the parity sketches of all partitions of each band, which hold 64 bits for few differences, however large the set."""
+    each = marks.select("node", F.col("n_shingles").alias("n"), "parts", "widths", F.posexplode("bands").alias("at", "band"))
+    bits = F.expr("slice(parts, if(at = 0, 1, widths[0] + 1), widths[at])")
+    return each.select("node", "band", "n", bits.alias("bits"))
+
+
+def formed(rest: DataFrame, layers: DataFrame, low: float, high: float, measure: Measure) -> DataFrame:
     """The plausible pairs(a, b) of nodes whose turn is from low up to high with those of a later turn, in different components.
 
-    A group of many nodes is dealt into parts, and the nodes whose turn it is are held against each part.
+    A group of many nodes is dealt into parts, and the nodes whose turn it is
+    are held against each part.  The sketches of all partitions of the band
+    must allow the pair as well.
     """
-    told = ["part", "most", "n", *(f"s{i}" for i in range(SKETCH)), "turn", "component"]
+    told = ["part", "most", "band", "n", *(f"s{i}" for i in range(SKETCH)), "turn", "component"]
     side = lambda df, x: df.select("signature", "deal", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in told])
     heads = rest.where((F.col("turn") >= low) & (F.col("turn") < high)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     others = rest.where(F.col("turn") >= low).withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "node"), F.col("parts")).cast("int"))
     both = side(heads, "a").join(side(others, "b"), ["signature", "deal"])
     later = (F.col("a_turn") < F.col("b_turn")) | ((F.col("a_turn") == F.col("b_turn")) & (F.col("a") < F.col("b")))
-    return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
+    pairs = both.where((F.col("a_band") == F.col("b_band")) & later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).groupBy("a", "b").agg(F.min("a_band").alias("band"))
+    of = lambda x: layers.select(F.col("node").alias(x), "band", F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    differing = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    allowed = differing * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent)
+    return pairs.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"]).where(allowed).select("a", "b")
 
 
 def settled(pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None, texts: DataFrame, measure: Measure) -> tuple[DataFrame | None, DataFrame | None]:
@@ -289,8 +304,8 @@ def settled(pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None,
     return links, joined
 
 
-def linked(groups: DataFrame, known: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """node and component of every node in a verified link, over groups(signature, node, part, most, lead, turn, parts) and known(node, n, s0, ...).
+def linked(groups: DataFrame, known: DataFrame, layers: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """node and component of every node in a verified link, over groups(signature, node, part, most, lead, band, turn, parts), known(node, n, s0, ...) and layers_of() them.
 
     Two nodes of a group meet in the round of the one whose turn is earlier, so
     every pair that the sketches allow is decided, but for those that are in
@@ -315,7 +330,7 @@ def linked(groups: DataFrame, known: DataFrame, texts: DataFrame, measure: Measu
             here = stored(here if own is not None else here.join(known, "node"))
             for table in (named, open_, own):
                 dropped(table)
-            links, joined = settled(stored(formed(here, low, high, measure)), links, joined, texts, measure)
+            links, joined = settled(stored(formed(here, layers, low, high, measure)), links, joined, texts, measure)
             rest, own = here.drop("component"), here
             low, high = high, high * GROWTH
     return joined if joined is not None else known.select("node", F.col("node").alias("component")).where("false")
@@ -332,20 +347,23 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
-    rows = stored(first.select("doc_id", "n_shingles", "node", "sketch"))
+    rows = stored(first.select("doc_id", "n_shingles", "node"))
+    marks = stored(first.where("sketch is not null").select("node", "n_shingles", "sketch", "parts", "bands", "widths").dropDuplicates(["node"]))
     found = stored(groups_of(first, measure))
     dropped(first)
     groups = stored(turns(found))
     dropped(found)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    sketches = rows.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
+    sketches = marks.select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
     known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
     texts = stored(texts_of(docs, known.select("node", "doc_id")))
-    joined = linked(groups, known.drop("doc_id"), texts, measure)
+    layers = stored(layers_of(marks.join(known.select("node"), "node", "left_semi")))
+    dropped(marks)
+    joined = linked(groups, known.drop("doc_id"), layers, texts, measure)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     whole = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
     names = stored(whole.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (groups, known, texts, joined):
+    for table in (groups, known, layers, texts, joined):
         dropped(table)
     return whole.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 
