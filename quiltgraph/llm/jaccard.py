@@ -35,8 +35,8 @@ from .links import components
 
 #: Nodes whose signatures a task remembers to have given.
 SEEN = 500_000
-#: 64-bit words of a whole set's sketch.
-SKETCH = 4
+#: 64-bit words of a whole set's sketch: it tells sets apart up to about twice as many elements as it has bits.
+SKETCH = 16
 #: Most cells of a partition and differences it may hold, and the signatures of a set for each of k + 2, but at least FEW.
 CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
 #: Shares in which signatures are counted one after another, which bounds what is shuffled at once.
@@ -149,7 +149,7 @@ def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
 
 
 def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
-    """signature, node, part, most, lead and band, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
+    """Stored: signature, node, part, most, lead and band, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
     own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
     several = []
     for part in range(SLICES):
@@ -180,7 +180,9 @@ def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
 
         return step
 
-    return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean, band int").dropDuplicates(["signature", "node"])
+    out = stored(arrow_map(own, make, "signature long, node long, part long, most int, lead boolean, band int").dropDuplicates(["signature", "node"]))
+    held.destroy()
+    return out
 
 
 def texts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def texts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
-    """node and its shingles, of the nodes in wanted(node), where a task meets them first; texts(node, text) of other nodes aren't hashed."""
+    """Stored: node and its shingles, of the nodes in wanted(node), where a task meets them first; texts(node, text) of other nodes aren't hashed."""
     held = bit_filter(wanted.select("node"))
 
     def make():
@@ -211,13 +213,15 @@ def sets_of(texts: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(texts, make, "node long, shingles array<long>").dropDuplicates(["node"])
+    out = stored(arrow_map(texts, make, "node long, shingles array<long>").dropDuplicates(["node"]))
+    held.destroy()
+    return out
 
 
 def similar(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """Stored: the rows of pairs(a, b) whose sets reach the similarity, decided on the whole sets."""
     asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = stored(sets_of(texts, measure, asked))
+    sets = sets_of(texts, measure, asked)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("first")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("second"))
     both = pairs.join(left, "a").join(right, "b")
     shared = both.select("a", "b", (F.size("first") + F.size("second")).alias("all"), F.size(F.array_intersect("first", "second")).alias("shared"))
@@ -349,7 +353,7 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     first = stored(signed_sets(docs, measure))
     rows = stored(first.select("doc_id", "n_shingles", "node"))
     marks = stored(first.where("sketch is not null").select("node", "n_shingles", "sketch", "parts", "bands", "widths").dropDuplicates(["node"]))
-    found = stored(groups_of(first, measure))
+    found = groups_of(first, measure)
     dropped(first)
     groups = stored(turns(found))
     dropped(found)
