@@ -4,7 +4,7 @@ import random
 import pytest
 from brute import matches, random_graph, random_pattern
 
-from quiltgraph import cli, scratch
+from quiltgraph import cli, queries, scratch
 from quiltgraph.engine import Engine
 from quiltgraph.model import Pattern, PatternError
 from quiltgraph.operators import match
@@ -183,3 +183,18 @@ def test_engine(spark, shop):
     assert engine.match(shop, commerce.PATTERNS["p05"]).count == 7
     assert engine.explain(shop, commerce.PATTERNS["p10"])["steps"][1]["choose"] == 3
     assert engine.estimate(shop, commerce.PATTERNS["p09"]) == 36
+
+
+def test_a_stored_graph_holds_what_the_patterns_name(spark):
+    """A relation reads one table of it, with some edges taken away as well."""
+    whole = commerce.graph(spark, "/root/testdata/sf0.001")
+    some = queries._local(whole, commerce.PATTERNS["p04"])
+    named = {(commerce.O, commerce.P), (commerce.O, commerce.S), (commerce.P, commerce.S)}
+    assert {tuple(r) for r in some.edges.select("src_label", "dst_label").distinct().collect()} == named | {(b, a) for a, b in named}
+    for a, b in named:
+        for x, y in ((a, b), (b, a)):
+            assert {tuple(r) for r in some.relation(x, y).collect()} == {tuple(r) for r in whole.relation(x, y).collect()}
+    gone = spark.createDataFrame([tuple(some.relation(commerce.O, commerce.P).first())], "src long, dst long")
+    left = delete_edges(some, gone).relation(commerce.O, commerce.P)
+    assert left.count() == whole.relation(commerce.O, commerce.P).count() - 1
+    assert len({f.rsplit("/", 1)[0] for f in left.inputFiles()}) == 1
