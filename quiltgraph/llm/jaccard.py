@@ -14,9 +14,13 @@ signature, take turns by a hash: in every round those whose turn has come are
 held against the ones that come later, unless both are in one component
 already.  The first partition's signatures go first, so that sets that share
 many are mostly joined by one.  Before a pair is formed, parity sketches must
-allow it, of the signature's partition and of the whole sets: of their bits no
-more can differ than elements do.  Pairs that are formed are decided on the
-whole sets.
+allow it, of the signature's partition and of the chain of partitions that it
+begins: of their bits no more can differ than elements do.  Of partitions in a
+ring, with d differences in all, one begins chains that hold at most d * l / n1
+of them, for every length l: it follows the partition up to which the sum of
+differences less d / n1 is largest.  So no link is lost, and sets that only
+resemble each other seldom pass, however long they are.  Pairs that are formed
+are decided on the whole sets, and only theirs are made.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from .links import components
 
 #: Nodes whose signatures a task remembers to have given.
 SEEN = 500_000
-#: 64-bit words of a whole set's sketch.
-SKETCH = 4
+#: Partitions of a chain, and 64-bit words of its sketch.
+CHAIN, SKETCH = 16, 4
 #: Most cells of a partition and differences it may hold, and the signatures of a set for each of k + 2, but at least FEW.
 CELLS, HELD, RATE, FEW = 6, 2, 1.5, 12
 #: Shares in which signatures are counted one after another, which bounds what is shuffled at once.
@@ -110,48 +114,61 @@ def node_of(shingled: np.ndarray) -> np.ndarray:
     return mixed(shingled.sum(dtype=np.uint64) + mixed(np.bitwise_xor.reduce(mixed(shingled + np.uint64(7)))[None] + np.uint64(len(shingled))))
 
 
-def sketch_of(shingled: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the elements that fall on it."""
-    at = mixed(shingled + np.uint64(0x51ED)) % np.uint64(64 * SKETCH)
-    odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def chains(parts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row for each start: the parity sketch of the chain that begins there, of up to CHAIN of the partitions in a ring."""
+    steps = np.arange(-(-min(CHAIN, len(parts)) // SKETCH) * SKETCH)
+    each = parts[(starts[:, None] + steps) % len(parts)]
+    each[:, steps >= len(parts)] = 0
+    return np.bitwise_xor.reduce(each.reshape(len(starts), len(steps) // SKETCH, SKETCH), 1)
 
 
 def signed_sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles, node and, where a task meets the node first, signatures and sketches; node is null for an empty set."""
+    """doc_id, n_shingles, node and, where a task meets the node first, signatures and sketches; node is null for an empty set.
+
+    The lowest bit of a signature says whether it is of the set's own band.
+    """
 
     def make():
         seen: set[int] = set()
 
         def step(c):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for t in c["text"]:
                 s = shingles(word_hashes(lowered(t)), measure.width)
                 node = int(signed(node_of(s))[0]) if len(s) else None
-                cells = parts = sketch = None
+                cells = parts = None
                 if node is not None and node not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
                     cells, parts = measure.signatures(s)
-                    cells, sketch = signed(cells), sketch_of(s)
-                for o, v in zip(out, (len(s), node, cells, parts, sketch)):
+                    own = measure.bands(len(s))[0][0]
+                    own = sum(n1 * comb(n2, k2) for number, n1, n2, k2 in measure.layout(len(s)) if number == own)
+                    cells = signed(cells) & -2
+                    cells[:own] |= 1
+                for o, v in zip(out, (len(s), node, cells, parts)):
                     o.append(v)
             return list(out)
 
         return step
 
-    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, parts array<long>, sketch array<long>", ("doc_id",))
+    return arrow_map(docs, make, "n_shingles long, node long, signatures array<long>, parts array<long>", ("doc_id",))
 
 
 def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
-    """signature, node, part, most and lead, for signatures that several nodes have: the partition's sketch, the most bits that may differ, and whether it is a band's first partition."""
+    """Signatures that several nodes have, of the own band of one at least: signature, node, n, n1, own, lead, part and s0, ...
+
+    n is the set's size and n1 the number of the band's partitions; own says
+    whether the band is the set's own, lead whether the partition is the band's
+    first; part and s0, ... are the sketches of the partition and of its chain.
+    """
     own = first.where("signatures is not null").select("node", "n_shingles", "signatures", "parts")
     several = []
     for part in range(SLICES):
         # a partial sum meets hot signatures before the shuffle
-        count = own.select(F.explode(F.filter("signatures", lambda s: F.pmod(s, F.lit(SLICES)) == part)).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))  # noqa: B023
-        several.append(stored(count.where("n > 1").select("signature")))
+        each = own.select(F.explode(F.filter("signatures", lambda s: F.pmod(F.shiftright(s, 1), F.lit(SLICES)) == part)).alias("s"))  # noqa: B023
+        count = each.groupBy(F.col("s").bitwiseAND(F.lit(-2)).alias("signature")).agg(F.count("*").alias("n"), F.max(F.col("s").bitwiseAND(F.lit(1))).alias("own"))
+        several.append(stored(count.where("n > 1 and own = 1").select("signature")))
     held = bit_filter(reduce(DataFrame.union, several))
     for table in several:
         dropped(table)
@@ -160,23 +177,27 @@ def groups_of(first: DataFrame, measure: Measure) -> DataFrame:
         bits = held.value
 
         def step(c):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for node, size, names, parts in zip(c["node"], c["n_shingles"], c["signatures"], c["parts"]):
-                names = np.array(names, np.int64)
-                hit = passes(bits, names)
-                if not hit.any():
-                    continue
-                layout = [(n1, comb(n2, k2), k2) for _, n1, n2, k2 in measure.layout(size)]
-                part = np.repeat(np.array(parts, np.int64), np.concatenate([np.full(n1, each) for n1, each, _ in layout]))
-                most = np.concatenate([np.full(n1 * each, k2, np.int32) for n1, each, k2 in layout])
-                lead = np.concatenate([np.arange(n1 * each) < each for n1, each, _ in layout])
-                for o, v in zip(out, (names[hit], np.full(hit.sum(), node, np.int64), part[hit], most[hit], lead[hit])):
-                    o.append(v)
-            return [np.concatenate(o) for o in out] if out[0] else None
+                names, parts, at, begun = np.array(names, np.int64), np.array(parts, np.int64), 0, 0
+                hits = passes(bits, names & -2)
+                for _, n1, n2, k2 in measure.layout(size) if hits.any() else ():
+                    each = comb(n2, k2)
+                    hit = np.flatnonzero(hits[at : at + n1 * each])
+                    here, ring = names[at + hit], parts[begun : begun + n1]
+                    at, begun, starts = at + n1 * each, begun + n1, hit // each
+                    many = len(hit)
+                    for o, v in zip(out, (here & -2, np.full(many, node), np.full(many, size, np.int32), np.full(many, n1, np.int32), (here & 1) == 1, starts == 0, ring[starts], chains(ring, starts))):
+                        o.append(v)
+            if not out[0]:
+                return None
+            *narrow, wide = [np.concatenate(o) for o in out]
+            return [*narrow, *np.ascontiguousarray(wide.T)]
 
         return step
 
-    return arrow_map(own, make, "signature long, node long, part long, most int, lead boolean").dropDuplicates(["signature", "node"])
+    words = "".join(f", s{i} long" for i in range(SKETCH))
+    return arrow_map(own, make, f"signature long, node long, n int, n1 int, own boolean, lead boolean, part long{words}").dropDuplicates(["signature", "node"])
 
 
 def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
@@ -193,7 +214,7 @@ def sets_of(docs: DataFrame, measure: Measure, wanted: DataFrame) -> DataFrame:
         def step(c):
             nodes, sets = [], []
             for at in np.flatnonzero(passes(bits, np.array(c["hash"], np.int64))):
-                s = shingles(word_hashes(lowered(c["text"][at])), measure.width)
+                s = shingles(word_hashes(lowered(c.part.column("text")[at].as_py())), measure.width)
                 node = int(signed(node_of(s))[0]) if len(s) else None
                 if node is not None and node not in seen:
                     if len(seen) >= SEEN:
@@ -221,13 +242,16 @@ def plausible(measure: Measure) -> Column:
     """Whether the columns of a and b that members have allow the similarity.
 
     Sets that reach it differ in at most (100 - percent) / (100 + percent) of
-    their joint size, and in some shared signature's partition in at most
-    ``most``; their sketches differ in no more bits.
+    their joint size, and in some shared signature's partition, and the chain
+    that it begins, in at most the partitions' share of that; their sketches
+    differ in no more bits.
     """
     differing = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
     bits = reduce(lambda x, y: x + y, [differing(f"s{i}") for i in range(SKETCH)])
-    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * measure.percent
-    return sizes & (differing("part") <= F.col("a_most")) & (bits * (100 + measure.percent) <= (F.col("a_n") + F.col("b_n")) * (100 - measure.percent))
+    sizes = F.least("a_n", "b_n") * F.lit(100) >= F.greatest("a_n", "b_n") * F.lit(measure.percent)
+    most = (F.col("a_n") + F.col("b_n")).cast("long") * (100 - measure.percent)
+    share = F.col("a_n1").cast("long") * (100 + measure.percent)
+    return sizes & (F.col("a_own") | F.col("b_own")) & (differing("part") * share <= most) & (bits * share <= most * F.least(F.lit(CHAIN), "a_n1"))
 
 
 def turns(groups: DataFrame) -> DataFrame:
@@ -243,7 +267,7 @@ def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFr
 
     A group of many nodes is dealt into parts, and the nodes whose turn it is are held against each part.
     """
-    told = ["part", "most", "n", *(f"s{i}" for i in range(SKETCH)), "turn", "component"]
+    told = ["n", "n1", "own", "part", *(f"s{i}" for i in range(SKETCH)), "turn", "component"]
     side = lambda df, x: df.select("signature", "deal", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in told])
     heads = rest.where((F.col("turn") >= low) & (F.col("turn") < high)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     others = rest.where(F.col("turn") >= low).withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "node"), F.col("parts")).cast("int"))
@@ -252,15 +276,16 @@ def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFr
     return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
 
 
-def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """node and component of every node in a verified link, over members(signature, lead, turn, parts, node, part, most, n, s0, ...).
+def linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """node and component of every node in a verified link, over members(signature, node, n, n1, own, lead, part, s0, ..., turn, parts) and nodes(node, doc_id).
 
     Two nodes of a group meet in the round of the one whose turn is earlier, so
     every pair that the sketches allow is decided, but for those that are in
     one component by then.  A group is left when all of its nodes are in one
-    component, or each has had its turn.
+    component, or each has had its turn.  The set of a node is made when a pair
+    needs it first.
     """
-    links = joined = None
+    links, joined, sets = None, None, []
     for lead in (True, False):
         rest, low, high = members.where(F.col("lead") == lead), 0.0, float(TURN)
         own: list[DataFrame] = []
@@ -269,22 +294,38 @@ def linked(members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
             named = stored(named)
             open_ = named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("turn").alias("last"))
             open_ = stored(open_.where((F.col("x") != F.col("y")) & (F.col("last") >= low)).select("signature"))
+            for table in own:
+                dropped(table)
             if open_.isEmpty():
-                for table in (named, open_, *own):
+                for table in (named, open_):
                     dropped(table)
                 break
             here = stored(named.join(open_, "signature", "left_semi"))
-            pairs = stored(formed(here, low, high, measure))
-            found = stored(similar(pairs, sets, measure))
-            if not found.isEmpty():
-                links, old = found if links is None else stored(found.union(links)), links
-                was, joined = joined, components(links)
-                dropped(old)
-                dropped(was)
-            for table in (named, open_, pairs, *own):
+            for table in (named, open_):
                 dropped(table)
+            pairs = stored(formed(here, low, high, measure))
+            if not pairs.isEmpty():
+                asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+                for table in sets:
+                    asked = asked.join(table.select("node"), "node", "left_anti")
+                asked = stored(asked.join(nodes, "node"))
+                if not asked.isEmpty():
+                    sets.append(stored(sets_of(docs, measure, asked)))
+                found = stored(similar(pairs, reduce(DataFrame.union, sets), measure))
+                if not found.isEmpty():
+                    found, old = found if links is None else stored(found.union(links)), found
+                    if links is not None:
+                        dropped(old)
+                    was, links = links, found
+                    dropped(was)
+                    was, joined = joined, components(links)
+                    dropped(was)
+                dropped(asked)
+            dropped(pairs)
             rest, own = here.drop("component"), [here]
             low, high = high, high * GROWTH
+    for table in sets:
+        dropped(table)
     return joined if joined is not None else members.select("node", F.col("node").alias("component")).where("false")
 
 
@@ -299,22 +340,17 @@ def classes(docs: DataFrame, measure: Measure = Measure(), id: str = "doc_id", t
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     first = stored(signed_sets(docs, measure))
-    rows = stored(first.select("doc_id", "n_shingles", "node", "sketch"))
+    rows = stored(first.select("doc_id", "n_shingles", "node"))
     found = stored(groups_of(first, measure))
     dropped(first)
-    groups = stored(turns(found))
+    members = stored(turns(found))
     dropped(found)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    sketches = rows.where("sketch is not null").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).dropDuplicates(["node"])
-    known = stored(groups.select("node").distinct().join(nodes, "node").join(sketches, "node"))
-    members = stored(groups.join(known.drop("doc_id"), "node"))
-    dropped(groups)
-    sets = stored(sets_of(docs, measure, known.select("node", "doc_id")))
-    joined = linked(members, sets, measure)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    joined = linked(members, docs, nodes, measure)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     whole = stored(rows.where("node is not null").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("node")))
     names = stored(whole.groupBy("node").agg(F.min("doc_id").alias("component_id")))
-    for table in (members, known, sets, joined):
+    for table in (members, joined):
         dropped(table)
     return whole.join(names, "node").select("doc_id", "n_shingles", "component_id").union(alone)
 

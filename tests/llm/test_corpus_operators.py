@@ -170,6 +170,57 @@ def test_pairs_of_a_group_of_near_copies_grow_in_proportion(spark, monkeypatch):
     assert counts[1] <= 6 * max(counts[0], 150) and counts[1] <= 3 * 600
 
 
+def test_long_sets_that_only_resemble_each_other_form_few_pairs(spark, monkeypatch):
+    counts, made, similar, sets_of = [0], [0], jaccard.similar, jaccard.sets_of
+
+    def counted(pairs, *rest):
+        counts[0] += pairs.count()
+        return similar(pairs, *rest)
+
+    def making(*args):
+        out = sets_of(*args)
+        made[0] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    monkeypatch.setattr(jaccard, "sets_of", making)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(3000)]
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for at in range(0, 3000, 50):
+            if rng.random() < 0.17:
+                w[at : at + 50] = [f"n{i}_{at}_{j}" for j in range(50)]
+        rows.append((i, " ".join(w)))
+    rows.append((30, " ".join(base[:1500] + ["new"] + base[1501:])))
+    rows.append((31, " ".join(base[:2500] + ["other"] + base[2501:])))
+    measure = jaccard.Measure()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), measure).collect()}
+    assert got == plain_classes(rows, measure) and got[31][1] == got[30][1]
+    assert counts[0] <= 100 and made[0] <= 2 * counts[0]  # of 496 pairs
+
+
+def test_some_shared_signature_begins_an_allowed_chain():
+    rng, measure = np.random.default_rng(3), jaccard.Measure()
+    for n, several in ((40, 20), (300, 20), (3000, 5)):
+        for _ in range(several):
+            same = rng.integers(0, 2**63, n, dtype=np.uint64)
+            gone = n * 10 // 90  # of either: just similar enough
+            a, b = (np.unique(np.concatenate([same, rng.integers(0, 2**63, gone, dtype=np.uint64)])) for _ in "ab")
+            assert 100 * n >= 80 * (len(a) + len(b) - n)
+            (names_a, parts_a), (names_b, parts_b), at, begun, allowed = measure.signatures(a), measure.signatures(b), 0, 0, False
+            assert measure.layout(len(a)) == measure.layout(len(b))
+            for _, n1, n2, k2 in measure.layout(len(a)):
+                each = len(list(combinations(range(n2), k2)))
+                hit = np.flatnonzero(names_a[at : at + n1 * each] == names_b[at : at + n1 * each]) // each
+                x, y = (jaccard.chains(p[begun : begun + n1], hit) for p in (parts_a, parts_b))
+                bits = np.bitwise_count(x ^ y).sum(1)
+                allowed |= bool((bits * 180 * n1 <= (len(a) + len(b)) * 20 * min(jaccard.CHAIN, n1)).any())
+                at, begun = at + n1 * each, begun + n1
+            assert allowed
+
+
 def test_classes_of_odd_tables(odd_docs, no_docs):
     out = jaccard.classes(odd_docs).collect()
     assert len(out) == 10 and {r["component_id"] for r in out if r["doc_id"] in (4, 5, None)} == {4}
