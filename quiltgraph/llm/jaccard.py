@@ -276,6 +276,24 @@ def formed(rest: DataFrame, low: float, high: float, measure: Measure) -> DataFr
     return both.where(later & (F.col("a_component") != F.col("b_component")) & plausible(measure)).select("a", "b").distinct()
 
 
+def merged(joined: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Stored: node and component of every node of joined(node, component) and of the links found(a, b).
+
+    Only the new links are followed, between the components that they join.
+    """
+    if joined is None:
+        return components(found)
+    of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    named = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    names = components(named)
+    # names of components are nodes: of those that joined has, or new ones
+    renamed = names.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    old = joined.join(renamed, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    out = stored(old.union(names.join(joined.select("node"), "node", "left_anti").select("node", "component")))
+    dropped(names)
+    return out
+
+
 def linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """node and component of every node in a verified link, over members(signature, node, n, n1, own, lead, part, s0, ..., turn, parts) and nodes(node, doc_id).
 
@@ -285,7 +303,7 @@ def linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, measure: Measu
     component, or each has had its turn.  The set of a node is made when a pair
     needs it first.
     """
-    links, joined, sets = None, None, []
+    joined, sets = None, []
     for lead in (True, False):
         rest, low, high = members.where(F.col("lead") == lead), 0.0, float(TURN)
         own: list[DataFrame] = []
@@ -313,14 +331,10 @@ def linked(members: DataFrame, docs: DataFrame, nodes: DataFrame, measure: Measu
                     sets.append(stored(sets_of(docs, measure, asked)))
                 found = stored(similar(pairs, reduce(DataFrame.union, sets), measure))
                 if not found.isEmpty():
-                    found, old = found if links is None else stored(found.union(links)), found
-                    if links is not None:
-                        dropped(old)
-                    was, links = links, found
-                    dropped(was)
-                    was, joined = joined, components(links)
+                    was, joined = joined, merged(joined, found)
                     dropped(was)
-                dropped(asked)
+                for table in (asked, found):
+                    dropped(table)
             dropped(pairs)
             rest, own = here.drop("component"), [here]
             low, high = high, high * GROWTH

@@ -170,6 +170,32 @@ def test_pairs_of_a_group_of_near_copies_grow_in_proportion(spark, monkeypatch):
     assert counts[1] <= 6 * max(counts[0], 150) and counts[1] <= 3 * 600
 
 
+def test_every_link_is_followed_once(spark, monkeypatch):
+    given, found, similar, components = [], [], jaccard.similar, jaccard.components
+
+    def counted(*args):
+        out = similar(*args)
+        found.append(out.count())
+        return out
+
+    def followed(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    monkeypatch.setattr(jaccard, "components", followed)
+    measure, rng = jaccard.Measure(3, 90), random.Random(4)
+    base, rows = words(rng, 60), []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(60), 2):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), measure).collect()}
+    assert got == plain_classes(rows, measure)
+    assert len([n for n in found if n]) > 1 and sum(given) <= sum(found)
+
+
 def test_long_sets_that_only_resemble_each_other_form_few_pairs(spark, monkeypatch):
     counts, made, similar, sets_of = [0], [0], jaccard.similar, jaccard.sets_of
 
